@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.leaks import tile_leaks
+from graphloom.llm.lookalike import lookalike_pairs, normalise
 from graphloom.llm.terms import term_frequencies
 from graphloom.sources.tables import table
 
@@ -20,7 +22,39 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_term_counts(spark, d).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
-QUERIES = {"p3_found": p3_found, "p3_term_counts": p3_term_counts}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, item_id): documents holding at least 15 consecutive words of an item."""
+    leaks = tile_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_match=15)
+    return leaks.where("longest >= 15").select("doc_id", "item_id").distinct()
+
+
+def p6_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks with reordered passages: tiles of 8 words on, kept if they cover half the item or one has 15 words."""
+    leaks = tile_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_match=8)
+    return leaks.where("coverage >= 0.5 or longest >= 15")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id_a, doc_id_b): documents with different stored texts that look the same."""
+    pairs = lookalike_pairs(table(spark, d, "documents"), "doc_id", "text")
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in the form its look-alikes share."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    formed = normalise(docs, "text", "text_form")
+    return formed.select("doc_id", "text_form", (~F.col("text").eqNullSafe(F.col("text_form"))).alias("changed"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_term_counts": p3_term_counts,
+    "p6_found": p6_found,
+    "p6_tiles": p6_tiles,
+    "p8_found": p8_found,
+    "p8_forms": p8_forms,
+}
 
 _TERMS = r"""
     WITH r AS (SELECT id, concat_ws(chr(10), max(name), max(qualified_name)) AS s
