@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.leaks import tile_leaks
 from graphloom.llm.lookalike import lookalike_pairs, normalise
+from graphloom.llm.mixing import Mix, count_tokens, mix_sources
 from graphloom.llm.terms import term_frequencies
 from graphloom.sources.tables import table
 
@@ -34,6 +35,21 @@ def p6_tiles(spark: SparkSession, d: str) -> DataFrame:
     return leaks.where("coverage >= 0.5 or longest >= 15")
 
 
+def _mix(spark: SparkSession, d: str) -> Mix:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return mix_sources(count_tokens(docs, "text"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their tokens and the number of times each appears."""
+    return _mix(spark, d).records.withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: target, budget and the share reached."""
+    return _mix(spark, d).shares
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id_a, doc_id_b): documents with different stored texts that look the same."""
     pairs = lookalike_pairs(table(spark, d, "documents"), "doc_id", "text")
@@ -52,6 +68,8 @@ QUERIES = {
     "p3_term_counts": p3_term_counts,
     "p6_found": p6_found,
     "p6_tiles": p6_tiles,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_forms": p8_forms,
 }
