@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.docpairs import describe_pairs, extract_units, newest
 from graphloom.llm.leaks import tile_leaks
 from graphloom.llm.lookalike import lookalike_pairs, normalise
 from graphloom.llm.mixing import Mix, count_tokens, mix_sources
@@ -12,6 +13,24 @@ from graphloom.llm.terms import term_frequencies
 from graphloom.sources.tables import table
 
 
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(id, signature, description) of the functions and methods that are really documented."""
+    nodes = newest(table(spark, d, "nodes"), "id", "updated_at", ["kind", "name", "docstring", "signature"])
+    callable_ = nodes.where(F.lower(F.regexp_replace("kind", r"^\s+|\s+$", "")).isin("function", "method"))
+    return describe_pairs(callable_, "id", "name", "docstring", "signature")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """(id): functions and methods whose docstring tells something beyond the name."""
+    return p2_pairs(spark, d).select("id")
+
+
+def p2_snippet_units(spark: SparkSession, d: str) -> DataFrame:
+    """Documented functions in the source texts among the documents."""
+    docs = table(spark, d, "documents").where("source = 'snippets'")
+    return extract_units(docs, "doc_id", "text")
+
+
 def p3_term_counts(spark: SparkSession, d: str) -> DataFrame:
     """Every term of names and qualified names with occurrences, records and mark."""
     nodes = table(spark, d, "nodes").select("id", "name", "qualified_name")
@@ -64,6 +83,9 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
+    "p2_snippet_units": p2_snippet_units,
     "p3_found": p3_found,
     "p3_term_counts": p3_term_counts,
     "p6_found": p6_found,
