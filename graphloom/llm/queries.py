@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.docpairs import describe_pairs, extract_units, newest
+from graphloom.llm.handwritten import machine_made, text_profiles
 from graphloom.llm.leaks import tile_leaks
 from graphloom.llm.lookalike import lookalike_pairs, normalise
 from graphloom.llm.mixing import Mix, count_tokens, mix_sources
+from graphloom.llm.parsing import parse_texts, unparsed_files
 from graphloom.llm.terms import term_frequencies
 from graphloom.sources.tables import table
 
@@ -42,6 +44,51 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_term_counts(spark, d).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def _newest_files(spark: SparkSession, d: str) -> DataFrame:
+    return newest(table(spark, d, "files"), "path", "indexed_at", ["language", "errors", "content_hash", "generated", "size", "node_count"])
+
+
+def _unparsed(spark: SparkSession, d: str) -> DataFrame:
+    return unparsed_files(_newest_files(spark, d).select("path", "language", "errors"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """(path): files that break their grammar or carry a foreign extension."""
+    return _unparsed(spark, d).where("broken or foreign").select("path")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per repository and language: files, flagged files and their rate."""
+    return (
+        _unparsed(spark, d)
+        .groupBy("repository", "language")
+        .agg(F.count(F.lit(1)).alias("n_files"), F.count_if("broken").alias("n_broken"), F.count_if("foreign").alias("n_foreign"), F.count_if(F.expr("broken or foreign")).alias("n_flagged"))
+        .withColumn("rate", F.col("n_flagged") / F.col("n_files"))
+    )
+
+
+def p4_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Source texts among the documents, parsed against all grammars."""
+    docs = table(spark, d, "documents").where("source = 'snippets'")
+    return parse_texts(docs.withColumn("label", F.lit(None).cast("string")), "doc_id", "text", "label")
+
+
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """(path, kind): files nobody wrote by hand."""
+    return machine_made(_newest_files(spark, d), table(spark, d, "known_copies"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """(path): generated, minified, vendored or data-only files."""
+    return p5_kinds(spark, d).select("path")
+
+
+def p5_text_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Rule reuse, literals and shared rules of the source texts among the documents."""
+    docs = table(spark, d, "documents").where("source = 'snippets'")
+    return text_profiles(docs, "doc_id", "text", "project")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, item_id): documents holding at least 15 consecutive words of an item."""
     leaks = tile_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_match=15)
@@ -88,6 +135,12 @@ QUERIES = {
     "p2_snippet_units": p2_snippet_units,
     "p3_found": p3_found,
     "p3_term_counts": p3_term_counts,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
+    "p4_snippets": p4_snippets,
+    "p5_found": p5_found,
+    "p5_kinds": p5_kinds,
+    "p5_text_profiles": p5_text_profiles,
     "p6_found": p6_found,
     "p6_tiles": p6_tiles,
     "p7_mix": p7_mix,
