@@ -294,12 +294,12 @@ def cluster_summary(spark, d):
 def spec_graph(spark, d) -> SpecGraph:
     """Specs and commits among the documents.
 
-    A commit belongs to the newest spec of its project and month; its fragments are
+    A commit belongs to the newest spec of its project and year; its fragments are
     the symbols it mentions and the files of its repository whose name it mentions.
     """
     docs = table(spark, d, "documents").where("source = 'specs' and text is not null")
     ts = F.unix_millis(F.col("created_at").cast("timestamp_ltz"))
-    month = F.date_format("created_at", "yyyy-MM")
+    month = F.date_format("created_at", "yyyy")
     specs = docs.select(
         F.concat(F.lit("spec:"), F.col("doc_id").cast("string")).alias("id"), F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"),
         F.when(F.col("project").isNull(), "deprecated").otherwise("active").alias("status"), F.lit(1).alias("version"), F.concat(F.lit("specs/"), F.col("doc_id").cast("string")).alias("file_path"),
@@ -325,9 +325,9 @@ def spec_graph(spark, d) -> SpecGraph:
 _SPECS = (
     C.WITH
     + f""", {_COMMITS}, sp AS (SELECT 'spec:' || doc_id AS id, regexp_extract(text, '^([^\\n]*)', 1) AS title, CASE WHEN project IS NULL THEN 'deprecated' ELSE 'active' END AS status,
-    epoch_us(created_at) // 1000 AS ts_ms, project, strftime(created_at, '%Y-%m') AS mon FROM documents WHERE source = 'specs' AND text IS NOT NULL),
+    epoch_us(created_at) // 1000 AS ts_ms, project, strftime(created_at, '%Y') AS mon FROM documents WHERE source = 'specs' AND text IS NOT NULL),
     nw AS (SELECT project, mon, max_by(id, (ts_ms, id)) AS spec_id FROM sp GROUP BY project, mon),
-    sc AS (SELECT spec_id, CAST(doc_id AS VARCHAR) AS commit_hash FROM documents dd JOIN nw ON dd.project = nw.project AND strftime(dd.created_at, '%Y-%m') = nw.mon WHERE source = 'commits' AND text IS NOT NULL),
+    sc AS (SELECT spec_id, CAST(doc_id AS VARCHAR) AS commit_hash FROM documents dd JOIN nw ON dd.project = nw.project AND strftime(dd.created_at, '%Y') = nw.mon WHERE source = 'commits' AND text IS NOT NULL),
     cm AS (SELECT CAST(doc_id AS VARCHAR) AS commit_hash, project, list_distinct(regexp_extract_all(text, '{_MENTION}', 1)) AS symbols, list_distinct(regexp_extract_all(text, '{_FILE}')) AS files FROM documents WHERE source = 'commits' AND text IS NOT NULL),
     cf AS (SELECT commit_hash, n.id AS fragment_id, n.file_path AS f_path, n.start_line AS f_start, n.end_line AS f_end FROM (SELECT commit_hash, unnest(symbols) AS name FROM cm) JOIN n USING (name)
       UNION SELECT commit_hash, n.id, n.file_path, n.start_line, n.end_line FROM (SELECT commit_hash, project, string_split(unnest(files), '/')[-1] AS name FROM cm) t
@@ -348,23 +348,23 @@ def spec_stats(spark, d):
 @query(
     _SPECS
     + """ SELECT spec_id, count(DISTINCT fragment_id) AS n_fragments, count(DISTINCT commit_hash) AS n_commits, 1 AS path_level,
-    max(greatest(least(f_end, 100) - greatest(f_start, 1) + 1, 0)) AS overlap_lines FROM ch WHERE contains(f_path, 'src') GROUP BY spec_id"""
+    max(greatest(least(f_end, 100) - greatest(f_start, 1) + 1, 0)) AS overlap_lines FROM ch WHERE contains(f_path, '/') GROUP BY spec_id"""
 )
 def spec_candidates(spark, d):
-    """Active specs with fragments under src, with their figures for the first 100 lines."""
-    return spec_graph(spark, d).candidates("src", 1, 100, None).select("spec_id", "n_fragments", "n_commits", "path_level", "overlap_lines")
+    """Active specs with fragments, with their figures for the first 100 lines."""
+    return spec_graph(spark, d).candidates("/", 1, 100, None).select("spec_id", "n_fragments", "n_commits", "path_level", "overlap_lines")
 
 
 @query(
     _SPECS
-    + """, g AS (SELECT spec_id, title, ts_ms, max(greatest(least(f_end, 100) - greatest(f_start, 1) + 1, 0)) AS ov FROM ch WHERE contains(f_path, 'src') GROUP BY spec_id, title, ts_ms),
+    + """, g AS (SELECT spec_id, title, ts_ms, max(greatest(least(f_end, 100) - greatest(f_start, 1) + 1, 0)) AS ov FROM ch WHERE contains(f_path, '/') GROUP BY spec_id, title, ts_ms),
     tl AS (SELECT DISTINCT spec_id FROM sc JOIN co ON CAST(co.id AS VARCHAR) = sc.commit_hash WHERE contains(lower(message), 'cache'))
     SELECT spec_id, round(0.30 * 0.6 + 0.25 * CASE WHEN spec_id IN (SELECT spec_id FROM tl) THEN 1 ELSE 0 END + 0.15 * CASE WHEN contains(lower(title), 'cache') THEN 1 ELSE 0 END
       + 0.20 / (1 + greatest((1767225600000 - ts_ms) / 86400000.0, 0) / 180) + 0.10 * least(1.0, ov / 100.0), 6) AS score FROM g"""
 )
 def spec_trace(spark, d):
     """The five-factor score of active specs for a place and a name, at the start of 2026."""
-    return spec_graph(spark, d).trace("src", 1, 100, "cache", 1767225600000, 100_000).select("spec_id", F.round("score", 6).alias("score"))
+    return spec_graph(spark, d).trace("/", 1, 100, "cache", 1767225600000, 100_000).select("spec_id", F.round("score", 6).alias("score"))
 
 
 @query(

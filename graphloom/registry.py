@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom import flow_queries, graph_queries, skew_queries, text_queries
+from graphloom import flow_queries, graph_queries, plan_queries, skew_queries, text_queries
 
-_MODULES = (skew_queries, graph_queries, text_queries, flow_queries)
+_MODULES = (skew_queries, graph_queries, text_queries, flow_queries, plan_queries)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return skew_queries.p1_target_fanin(spark, d)
+    return graph_queries.impact_radius(spark, d)
