@@ -96,6 +96,6 @@ def headings(markdown: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def read_git_log(spark: SparkSession, path: str) -> DataFrame:
     """(hash, author, ts_ms, message) from ``git log --format=%H%x1f%an%x1f%ct%x1f%B%x00`` output kept in files."""
-    rows = spark.read.option("lineSep", "\0").text(path).where(F.trim("value") != "")
-    f = F.split(F.ltrim(F.col("value")), "\x1f", 4)
-    return rows.select(F.trim(f[0]).alias("hash"), f[1].alias("author"), (f[2].cast("long") * 1000).alias("ts_ms"), F.rtrim(f[3]).alias("message"))
+    rows = spark.read.option("lineSep", "\0").text(path).where(F.col("value").rlike(r"\S"))
+    f = F.split(F.regexp_replace("value", r"^\s+", ""), "\x1f", 4)
+    return rows.select(F.trim(f[0]).alias("hash"), f[1].alias("author"), (f[2].cast("long") * 1000).alias("ts_ms"), F.regexp_replace(f[3], r"\s+$", "").alias("message"))

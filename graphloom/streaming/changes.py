@@ -56,13 +56,13 @@ class PendingFiles(StatefulProcessor):
             self.handle.deleteTimer(t)
         self.seen.update((first, last, n))
         self.handle.registerTimer(last + self.gap_ms)
-        yield pd.DataFrame({"path": [], "first_ms": [], "last_ms": [], "n": []})
+        yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if self.seen.exists():
             first, last, n = self.seen.get()
             self.seen.clear()
-            yield pd.DataFrame({"path": [str(key[0])], "first_ms": [first], "last_ms": [last], "n": [n]})
+            yield pd.DataFrame({"path": pd.Series([str(key[0])], dtype=object), "first_ms": [first], "last_ms": [last], "n": [n]})
 
     def close(self) -> None:
         pass
