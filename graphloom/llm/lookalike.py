@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -101,6 +102,7 @@ def skeleton(text: str) -> str:
 
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
+_PIECES, _ASCII_PIECES = regex.compile(r"([\p{L}\p{M}]+)"), re.compile(r"([A-Za-z]+)")
 _SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", "Cyrillic", "Greek", "Armenian", "Coptic", "Cherokee")}
 
 
@@ -131,7 +133,7 @@ def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                words.update(_WORD.findall(text))
+                words.update((_ASCII_PIECES if text.isascii() else _PIECES).findall(text))
             if len(words) > 200_000:
                 fold()
     fold()
@@ -166,8 +168,16 @@ class Speller:
         self.pair, self.one = model["pair"], model["one"]
         self.lattice = _lattice()
         self.memo: dict[str, str] = {}
+        self.steps: dict[str, float] = {}
 
     def _step(self, a: str, b: str) -> float:
+        """The score of ``b`` after ``a``; there are as many as pairs of letters."""
+        found = self.steps.get(a + b)
+        if found is None:
+            found = self.steps[a + b] = self._score(a, b)
+        return found
+
+    def _score(self, a: str, b: str) -> float:
         change = SCRIPT_CHANGE if a != "^" and b != "$" and script_of(a) != script_of(b) else 0.0
         return math.log((self.pair.get(a + b, 0) + 0.01) / (self.one.get(a, 0) + 3.0)) - change
 
@@ -187,14 +197,18 @@ class Speller:
     def word(self, word: str) -> str:
         out = self.memo.get(word)
         if out is None:
-            if len(self.memo) > 300_000:
+            if len(self.memo) > 300_000:  # bounds the memory of a worker
                 self.memo.clear()
             lattice = self.lattice
             out = self.memo[word] = self._viterbi(word) if any(c in lattice for c in word) else word
         return out
 
     def text(self, text: str) -> str:
-        formed = _WORD.sub(lambda m: self.word(m[0]), skeleton(text))
+        looks = skeleton(text)
+        pieces = (_ASCII_PIECES if looks.isascii() else _PIECES).split(looks)
+        known, word = self.memo.get, self.word
+        pieces[1::2] = [known(p) or word(p) for p in pieces[1::2]]
+        formed = "".join(pieces)
         return formed if formed.isascii() else unicodedata.normalize("NFC", formed)
 
 
