@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import directory, is_test_file
-from graphloom.runtime import staged
+from graphloom.runtime import shuffle_partitions, staged
 
 #: Edge kinds by which one symbol uses another.
 USES = ("calls", "references", "imports", "instantiates")
@@ -188,6 +188,7 @@ def dead_code(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("fun
 
 def node_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node: in and out degree, calls each way, children and depth of containment."""
+    edges = staged(edges.select("id", "source", "target", "kind"), "edges")
     ends = edges.select(F.col("target").alias("__id"), F.lit("in").alias("way"), "kind").unionByName(edges.select(F.col("source").alias("__id"), F.lit("out").alias("way"), "kind"))
     counts = ends.groupBy("__id").agg(
         F.count_if(F.col("way") == "in").alias("incoming"),
@@ -218,7 +219,7 @@ def file_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def affected_tests(dependencies: DataFrame, changed: DataFrame, depth: int = 5) -> DataFrame:
     """(file_path, depth): test files that depend on the changed files; tests are not passed through."""
-    links = dependencies.select(F.col("depends_on").alias("src"), F.col("file_path").alias("dst"))
+    links = staged(dependencies.select(F.col("depends_on").alias("src"), F.col("file_path").alias("dst")), "dependencies")
     files = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
     tests = files.where(is_test_file(F.col("id")))
     roots = changed.select(F.lit("changed").alias("root"), F.col("file_path").alias("id"))
@@ -277,18 +278,24 @@ def random_walk(edges: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] | Non
     weights = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     degree = weights.groupBy("src").agg(F.sum("w").alias("deg"))
     links = staged(weights.join(degree, "src").select("src", "dst", (F.col("w") / F.col("deg")).alias("p")), "walk")
+    # Laid out by source once: a round then moves the masses only.  Lost blocks are read again from the staged table.
+    links = links.repartition(shuffle_partitions(edges.sparkSession), "src").persist()
     start = seeds.select("id").distinct()
     n = start.count()
     begin = staged(start.withColumn("r", F.lit(1.0 / max(1, n))), "seeds")
+    # Mass only moves along edges, so none but a seed can be stuck, and a stuck seed keeps its share for ever.
     has_way = links.select(F.col("src").alias("id")).distinct()
+    stuck = begin.join(has_way, "id", "left_anti").select("id", F.col("r").alias("m"))
+    begin = staged(begin.join(has_way, "id", "left_semi"), "seeds")
+    back = begin.select("id", (F.col("r") * restart).alias("m"))
     mass = begin.select("id", F.col("r").alias("m"))
     for k in range(rounds):
-        moved = mass.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("m") * F.col("p") * (1 - restart)).alias("m"))
-        stuck = mass.join(has_way, "id", "left_anti").select("id", (F.col("m") * (1 - restart)).alias("m"))
-        back = begin.select("id", (F.col("r") * restart).alias("m"))
-        mass = moved.unionByName(stuck).unionByName(back).groupBy("id").agg(F.sum("m").alias("m"))
-        if k % 5 == 4:
+        moved = mass.hint("shuffle_hash").join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("m") * F.col("p") * (1 - restart)).alias("m"))
+        mass = moved.unionByName(back).groupBy("id").agg(F.sum("m").alias("m"))
+        if k % 5 == 4 and k + 1 < rounds:
             mass = staged(mass, "mass")
+    mass = staged(mass.unionByName(stuck), "mass")
+    links.unpersist()
     return mass.select("id", F.col("m").alias("score"))
 
 
