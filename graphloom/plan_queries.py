@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 from graphloom import catalog as C
 from graphloom.functions.code import dispatch_sites
 from graphloom.operators import intervals as I
+from graphloom.operators.imports import to_files
+from graphloom.operators.resolve import clean_refs
+from graphloom.operators.synthesize import request_type_routes, sites
 from graphloom.operators import text as X
 from graphloom.plans import context as P
+from graphloom.plans.surveys import conventional_handlers, domain_files, line_scan
 from graphloom.runtime import shared_dir
 from graphloom.sources.extract import extract
 from graphloom.sources.files import generated_header, headings
@@ -124,3 +128,78 @@ def diff_impact(spark, d):
     lines = refs.select(F.replace("file_path", F.lit("\\"), F.lit("/")).alias("path"), F.col("line").alias("start_line"), F.col("line").alias("end_line"))
     ranges = I.merge_ranges(lines, "path").select("path", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
     return P.diff_impact(C.nodes(spark, d), C.edges(spark, d), ranges)
+
+
+# ---- surveys, imports and what no name spells out ------------------------------------------------------------------
+
+
+def _snippets(spark, d):
+    docs = table(spark, d, "documents").where("source = 'snippets' and text is not null")
+    language = F.when(F.col("text").rlike(r"(?m)^def "), "python").when(F.col("text").rlike(r"(?m)^func "), "go").otherwise("typescript")
+    return docs.select(F.concat(F.lit("snippets/"), F.col("doc_id").cast("string")).alias("path"), "text", language.alias("language"))
+
+
+@query(r"""SELECT 'snippets/' || doc_id AS path, line, text FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS text, unnest(range(1, len(regexp_split_to_array(text, '\r?\n')) + 1)) AS line
+    FROM documents WHERE source = 'snippets' AND text IS NOT NULL) WHERE regexp_matches(text, '\b(?:const|let|var|def|func|fn|function|class)\s+resolve\w*\b')""")
+def survey_declarations(spark, d):
+    """Lines of source texts that declare something named resolve..."""
+    return line_scan(_snippets(spark, d), r"\b(?:const|let|var|def|func|fn|function|class)\s+resolve\w*\b")
+
+
+@query(
+    C.WITH
+    + """, h AS (SELECT file_path, sum(CASE WHEN contains(lower(name), 'cache') OR contains(lower(name), 'token') THEN CASE WHEN contains(lower(name), 'cache') THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), 'token') THEN 1 ELSE 0 END + 2 ELSE 0 END) AS s,
+    max(CASE WHEN contains(lower(file_path), 'cache') THEN 1 ELSE 0 END + CASE WHEN contains(lower(file_path), 'token') THEN 1 ELSE 0 END) AS p FROM n WHERE file_path IS NOT NULL GROUP BY file_path)
+    SELECT file_path, CAST(s + 5 * p AS BIGINT) AS score FROM h WHERE s + 5 * p > 0"""
+)
+def survey_domain_files(spark, d):
+    """Files about caches and tokens."""
+    return domain_files(C.nodes(spark, d, "name", "file_path"), ["cache", "token"])
+
+
+@query(
+    C.WITH
+    + """, nm AS (SELECT DISTINCT name FROM n WHERE kind = 'function'),
+    fm AS (SELECT name, unnest(['on' || lower(name), 'handle' || lower(name), lower(name) || 'handler', 'do' || lower(name), 'on_' || lower(name), lower(name) || '_handler']) AS form FROM nm)
+    SELECT DISTINCT fm.name, n.id, n.name AS handler FROM fm JOIN n ON fm.form = lower(n.name) AND n.kind IN ('function', 'method')"""
+)
+def survey_handlers(spark, d):
+    """Callables that by convention handle what a function starts."""
+    nodes = C.nodes(spark, d, "id", "kind", "name")
+    return conventional_handlers(nodes, nodes.where("kind = 'function'").select("name"))
+
+
+@query(
+    C.WITH
+    + """SELECT DISTINCT o.name AS type, m.name AS method, k.name AS caller, k.file_path AS caller_file FROM n o JOIN e c ON c.kind = 'contains' AND c.source = o.id JOIN n m ON c.target = m.id
+    JOIN e x ON x.kind = 'calls' AND x.target = m.id JOIN n k ON x.source = k.id WHERE k.file_path <> o.file_path AND o.name IN (SELECT name FROM n WHERE kind = 'class')"""
+)
+def survey_callers(spark, d):
+    """Who calls the members of classes from other files."""
+    nodes, edges = C.nodes(spark, d, "id", "kind", "name", "file_path"), C.edges(spark, d, "source", "target", "kind")
+    classes = nodes.where("kind = 'class'").select(F.col("name").alias("type")).distinct()
+    owner = nodes.join(classes, F.col("name") == F.col("type")).select(F.col("id").alias("o_id"), "type", F.col("file_path").alias("o_path"))
+    held = edges.where("kind = 'contains'").select(F.col("source").alias("c_s"), F.col("target").alias("c_t")).distinct()
+    methods = owner.join(held, F.col("o_id") == F.col("c_s")).join(nodes.select(F.col("id").alias("m_id"), F.col("name").alias("method")), F.col("c_t") == F.col("m_id"))
+    callers = nodes.select(F.col("id").alias("k_id"), F.col("name").alias("caller"), F.col("file_path").alias("caller_file"))
+    out = edges.where("kind = 'calls'").select("source", "target").join(methods, F.col("target") == F.col("m_id")).join(callers, F.col("source") == F.col("k_id"))
+    return out.where("caller_file <> o_path").select("type", "method", "caller", "caller_file").distinct()
+
+
+@query()
+def resolve_imports(spark, d):
+    """Import references and the files they mean."""
+    nodes = C.nodes(spark, d, "id", "kind", "name", "file_path", "language")
+    return to_files(clean_refs(table(spark, d, "unresolved_refs"), nodes), nodes)
+
+
+@query()
+def synthesized_sites(spark, d):
+    """Routes, observers, events and function pointers in the source texts among the documents, by role."""
+    return sites(_snippets(spark, d)).groupBy("language", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def request_routes(spark, d):
+    """Routes bound to methods by the type of their request."""
+    return request_type_routes(C.nodes(spark, d, "id", "kind", "language", "qualified_name", "file_path", "start_line", "signature"))
