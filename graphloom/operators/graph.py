@@ -226,24 +226,26 @@ def affected_tests(dependencies: DataFrame, changed: DataFrame, depth: int = 5)
     return reach(links, roots, depth, stop=tests).where(is_test_file(F.col("id"))).select(F.col("id").alias("file_path"), "depth")
 
 
-def cycles(links: DataFrame, rounds: int = 64) -> DataFrame:
+def cycles(links: DataFrame) -> DataFrame:
     """(id, component): strongly connected components of two nodes or more, named by their least node.
 
-    Forward and backward reachability of the least node, repeated on what is
-    left: each round trims nodes without way in or out, colours the rest by the
-    least node that reaches them, and keeps what reaches its colour back.
+    Repeated until no edge is left: nodes without way in or out are trimmed as
+    long as that pays, the rest is coloured by the least node that reaches it, and
+    what reaches its colour back is a component.  Each round takes at least one
+    component per colour away, so it ends.
     """
     links = staged(links.select("src", "dst").where("src <> dst").distinct(), "links")
     found = []
-    for _ in range(rounds):
-        while True:  # what has no way in or no way out lies on no cycle
-            count = links.count()
+    count = links.count()
+    while count:
+        before = None
+        while count and (before is None or count < 0.9 * before):  # what has no way in or no way out lies on no cycle
+            before = count
             links = links.join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             links = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
             links = staged(links, "links")
-            if links.count() == count:
-                break
-        if links.isEmpty():
+            count = links.count()
+        if not count:
             break
         colour = staged(links.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colour")
         while True:  # least name that reaches each node
@@ -263,6 +265,7 @@ def cycles(links: DataFrame, rounds: int = 64) -> DataFrame:
         done = component.select(F.col("id").alias("__id"))
         links = inside.join(done, F.col("src") == F.col("__id"), "left_anti").join(done, F.col("dst") == F.col("__id"), "left_anti").select("src", "dst")
         links = staged(links, "links")
+        count = links.count()
     empty = links.select(F.col("src").alias("id"), F.col("dst").alias("component")).limit(0)
     return reduce(DataFrame.unionByName, found, empty)
 
