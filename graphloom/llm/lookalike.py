@@ -95,10 +95,32 @@ def _tables() -> tuple[dict, dict]:
 def skeleton(text: str) -> str:
     """The looks of a text: decomposed, letters replaced by the names of their classes."""
     if text.isascii():
-        return text.replace("\r\n", "\n").translate(_tables()[0])
+        return text.replace("\r\n", "\n").translate(_tables()[0]) if _ASCII_ODD.search(text) else text
     before, after = _tables()
-    plain = text.replace("\r\n", "\n").translate(before)
-    return unicodedata.normalize("NFD", plain).translate(after)
+    odd, alike = _charsets()
+    plain = text.replace("\r\n", "\n")
+    plain = unicodedata.normalize("NFD", plain.translate(before) if odd.search(plain) else plain)
+    return plain.translate(after) if alike.search(plain) else plain
+
+
+_ASCII_ODD = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
+
+
+@lru_cache(maxsize=1)
+def _charsets() -> tuple[re.Pattern, re.Pattern]:
+    """Character sets of the two tables: most texts have none of the first and are not rewritten."""
+
+    def charset(points: list[int]) -> re.Pattern:
+        runs: list[list[int]] = []
+        for p in sorted(points):
+            if runs and p == runs[-1][1] + 1:
+                runs[-1][1] = p
+            else:
+                runs.append([p, p])
+        return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]")
+
+    before, after = _tables()
+    return charset(list(before)), charset(list(after))
 
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -166,7 +188,9 @@ class Speller:
 
     def __init__(self, model: dict[str, dict]):
         self.pair, self.one = model["pair"], model["one"]
-        self.lattice = _lattice()
+        # Besides a class's own name only letters that the corpus's words of one script use can win.
+        kept = {name: (name, *[c for c in letters[1:] if c in self.one]) for name, letters in _lattice().items()}
+        self.lattice = {name: letters for name, letters in kept.items() if len(letters) > 1}
         self.memo: dict[str, str] = {}
         self.steps: dict[str, float] = {}
 
@@ -182,16 +206,19 @@ class Speller:
         return math.log((self.pair.get(a + b, 0) + 0.01) / (self.one.get(a, 0) + 3.0)) - change
 
     def _viterbi(self, word: str) -> str:
+        lattice, steps, step = self.lattice, self.steps, self._step
         paths = [(0.0, "^", "")]  # (score, last letter, letters so far)
         for ch in word:
             if unicodedata.category(ch)[0] == "M":
                 paths = [(s, last, done + ch) for s, last, done in paths]
                 continue
-            paths = [
-                # Among equal scores the lesser path wins, so the choice never depends on the input's characters.
-                min(((s - self._step(last, c), c, done + c) for s, last, done in paths))
-                for c in self.lattice.get(ch, (ch,))
-            ]
+            letters = lattice.get(ch)
+            if letters is None and len(paths) == 1:
+                s, last, done = paths[0]
+                paths = [(s - (steps.get(last + ch) or step(last, ch)), ch, done + ch)]
+                continue
+            # Among equal scores the lesser path wins, so the choice never depends on the input's characters.
+            paths = [min([(s - (steps.get(last + c) or step(last, c)), c, done + c) for s, last, done in paths]) for c in letters or (ch,)]
         return min((s - self._step(last, "$"), done) for s, last, done in paths)[1]
 
     def word(self, word: str) -> str:
