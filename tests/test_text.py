@@ -69,7 +69,7 @@ def test_bonuses(spark):
     got = dict(rows(df.select("id", X.name_match_bonus(F.col("name"), "render token"))))
     assert got == {"1": 80, "2": 60, "3": 0, "4": 0}
     path = dict(rows(df.select("id", X.path_relevance(F.col("file_path"), "token"))))
-    assert path == {"1": 0, "2": 10, "3": -5, "4": 0}
+    assert path == {"1": 0, "2": 13, "3": -2, "4": 0}
 
 
 def test_segments_and_prose(spark):
