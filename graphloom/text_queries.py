@@ -47,11 +47,11 @@ def bm25_prefix(spark, d):
 
 @query(
     C.WITH
-    + """SELECT id, CASE WHEN name = 'Cache' THEN 1.0 WHEN starts_with(lower(name), 'cache') THEN 0.9 WHEN contains(lower(name), 'cache') THEN 0.8 ELSE 0.7 END AS score
+    + """SELECT id, CASE WHEN name = 'Cache' THEN 1.0 WHEN starts_with(lower(name), 'cache') THEN 0.9 WHEN contains(lower(name), 'cache') THEN 0.8 ELSE 0.7 END::DOUBLE AS score
     FROM n WHERE contains(lower(name), 'cache') OR contains(lower(qualified_name), 'cache')"""
 )
 def like_tiers(spark, d):
-    return X.like_tiers(symbols(spark, d), "Cache").select("id", F.col("score").cast("decimal(2,1)").alias("score"))
+    return X.like_tiers(symbols(spark, d), "Cache").select("id", F.col("score").cast("double").alias("score"))
 
 
 @query(
