@@ -334,9 +334,9 @@ def affected_tests(spark, d):
 
 @query()
 def file_cycles(spark, d):
-    """Files on dependency cycles with the component they belong to (supertypes and types only)."""
+    """Files on dependency cycles with the component they belong to."""
     nodes, edges = C.nodes(spark, d, "id", "file_path"), C.edges(spark, d, "source", "target", "kind")
-    links = G.file_dependencies(nodes, edges.where("kind in ('extends', 'implements', 'type_of', 'returns', 'overrides')"))
+    links = G.file_dependencies(nodes, edges)
     return G.cycles(links.select(F.col("file_path").alias("src"), F.col("depends_on").alias("dst"))).withColumnRenamed("id", "file_path")
 
 

@@ -120,3 +120,13 @@ def test_empty_graph(spark):
     assert G.reach(G.adjacency(none), G.roots_of(ids(spark, "a")), 3).count() == 1
     assert G.cycles(none.select(F.col("source").alias("src"), F.col("target").alias("dst"))).count() == 0
     assert rows(G.random_walk(none, ids(spark, "a"), rounds=2)) == [("a", 1.0)]
+
+
+def test_file_cycles_close_over_calls_and_imports(spark, monkeypatch):
+    from graphloom import graph_queries as Q
+
+    nodes = spark.createDataFrame([("a", "a.py"), ("b", "b.py"), ("c", "c.py")], "id string, file_path string")
+    links = edges(spark, [("a", "b")]).unionByName(edges(spark, [("b", "a")], "imports")).unionByName(edges(spark, [("b", "c"), ("c", "b")], "contains"))
+    monkeypatch.setattr(Q.C, "nodes", lambda *_: nodes)
+    monkeypatch.setattr(Q.C, "edges", lambda *_: links)
+    assert rows(Q.file_cycles(spark, "").select("file_path", "component")) == [("a.py", "a.py"), ("b.py", "a.py")]
