@@ -110,3 +110,11 @@ def test_pending_set_waits_for_quiet(spark, tmp_path):
     W.run_once(W.pending_files(stream, 2000), lambda df, _: out.extend(map(tuple, df.collect())), str(tmp_path / "ck"))
     assert {r[0] for r in out} >= {"a", "b"} and sum(r[3] for r in out if r[0] == "a") == 3
     assert isinstance(pd.DataFrame(out), pd.DataFrame)
+
+
+def test_header_scan_gives_texts_that_speak_of_generation(spark, tmp_path):
+    from graphloom import plan_queries as Q
+
+    data = [(1, "snippets", "// Code generated by x. DO NOT EDIT.\nf()"), (2, "snippets", "// do not panic\nf()"), (3, "snippets", "f()"), (4, "docs", "// @generated"), (5, "snippets", None)]
+    spark.createDataFrame(data, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(Q.header_scan(spark, str(tmp_path))) == [(1, True), (2, False), (3, False)]
