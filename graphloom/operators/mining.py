@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.text import tokens
@@ -63,20 +63,45 @@ def cosine_of_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", F.coalesce(F.when(scale > 0, F.col("dot") / scale), F.lit(0.0)).alias("cosine"))
 
 
-def commit_pairs(commits: DataFrame, threshold: float = 0.5) -> DataFrame:
+def telling_terms(vectors: DataFrame, least: float) -> DataFrame:
+    """(id, term): per vector the rarest terms, so many that two vectors with a cosine of ``least`` share one.
+
+    The rarest common term of such a pair stands where the rest of either vector,
+    commoner terms only, still has ``least`` of the norm.
+    """
+    df = vectors.groupBy(F.col("term").alias("d_term")).agg(F.count(F.lit(1)).alias("df"))
+    common_first = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
+    rest = F.sum(F.col("weight") * F.col("weight"))
+    sums = vectors.join(df, F.col("term") == F.col("d_term")).select(
+        "id", "term", rest.over(common_first.rowsBetween(Window.unboundedPreceding, 0)).alias("rest"), rest.over(Window.partitionBy("id")).alias("whole")
+    )
+    return sums.where(F.sqrt(F.col("rest") / F.col("whole")) >= least - 1e-9).select("id", "term")
+
+
+def commit_pairs(commits: DataFrame, threshold: float = 0.25) -> DataFrame:
     """(a, b, score), a < b: pairs of commits as similar as ``threshold`` or more.
 
-    ``commits`` has id, message, ts_ms, symbols, files, tickets.  Place, message
-    and time give .5 together, so above that a pair shares a symbol or a ticket:
-    candidates come from equality joins on these, and no pair is lost.
+    ``commits`` has id, message, ts_ms, symbols, files, tickets.  Candidates come
+    from equality joins and no pair is lost: place, message and time give .5
+    together, so above that a pair shares a symbol or a ticket.  Below, a pair that
+    shares none of symbols, tickets, files and folders has only message and time,
+    so its messages are alike enough to share one of their rarest words.
     """
+    if threshold < 0.25:
+        raise ValueError("candidates are laid out for thresholds of 0.25 or more")
+    vectors = tf_idf(commits, "id", "message")
+    kinds = {"s:": F.col("symbols"), "t:": F.col("tickets")}
+    if threshold < PLACE + MESSAGE + TIME:
+        kinds |= {"f:": F.col("files"), "d:": two_segments(F.col("files"))}
+        vectors = staged(vectors, "vectors")
+    named = [F.transform(c, lambda s, k=k: F.concat(F.lit(k), s)) for k, c in kinds.items()]
+    keys = commits.select("id", F.explode(F.array_distinct(F.concat(*named))).alias("key"))
     if threshold < PLACE + MESSAGE + TIME:
-        raise ValueError("below 0.5 pairs need not share a symbol or ticket")
-    keys = commits.select("id", F.explode(F.array_union(F.transform("symbols", lambda s: F.concat(F.lit("s:"), s)), F.transform("tickets", lambda s: F.concat(F.lit("t:"), s)))).alias("key"))
+        keys = keys.unionByName(telling_terms(vectors, (threshold - TIME) / MESSAGE).select("id", F.concat(F.lit("w:"), "term").alias("key")))
     keys = staged(keys.distinct(), "keys")
     pairs = keys.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
     pairs = staged(pairs, "pairs")
-    cosine = cosine_of_pairs(tf_idf(commits, "id", "message"), pairs)
+    cosine = cosine_of_pairs(vectors, pairs)
     cohesion = F.size("symbols") / F.greatest(F.size("files"), F.lit(1))
     facts = commits.select("id", "ts_ms", "symbols", "files", two_segments(F.col("files")).alias("dirs"), "tickets", cohesion.alias("cohesion"))
     a, b = (facts.select(*[F.col(c).alias(f"{p}_{c}") for c in facts.columns]) for p in "ab")

@@ -118,6 +118,26 @@ def test_tf_idf_and_pairs(spark):
         M.commit_pairs(c, 0.2)
 
 
+def test_pairs_alike_by_words_or_place_only(spark):
+    data = [(1, "alpha beta", 0, ["p", "q"], [], []), (2, "alpha beta", 0, ["r", "s"], [], []), (3, "gamma delta", 10**12, list("abcd"), ["d/a.py"], []), (4, "gamma epsilon", 10**12, list("efgh"), ["d/a.py"], [])]
+    c = spark.createDataFrame(data, "id long, message string, ts_ms long, symbols array<string>, files array<string>, tickets array<string>")
+    assert [r[:2] for r in rows(M.commit_pairs(c))] == [(1, 2), (3, 4)]
+    many = [(k, f"w{k % 7} w{k % 5} w{k % 3} common", k % 4 * 10**7, [f"s{k}", f"z{k}"], [f"d/f{k % 11}.py"] if k % 2 else [], []) for k in range(60)]
+    c = spark.createDataFrame(many, c.schema)
+    ids = c.select("id")
+    every = ids.select(F.col("id").alias("a")).crossJoin(ids.select(F.col("id").alias("b"))).where("a < b")
+    cosine = {(r["a"], r["b"]): r["cosine"] for r in M.cosine_of_pairs(M.tf_idf(c, "id", "message"), every).collect()}
+    import math
+
+    want = []
+    for (a, b), cos in cosine.items():
+        x, y = many[a], many[b]
+        raw = 0.15 * (x[4] == y[4] != []) + 0.25 * cos + 0.1 * math.exp(-abs(x[2] - y[2]) / M.TIME_SCALE_MS)
+        if raw >= 0.25:
+            want.append((a, b))
+    assert want and sorted(r[:2] for r in rows(M.commit_pairs(c))) == sorted(want)
+
+
 def test_communities(spark):
     def clique(vs):
         return [(a, b, 1.0) for i, a in enumerate(vs) for b in vs[i + 1 :]]
