@@ -192,27 +192,15 @@ def _leiden(pdf: pd.DataFrame, resolution: float) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "community"])
 
 
-def communities(pairs: DataFrame, resolution: float = 1.0, largest: int = 20_000) -> DataFrame:
+def communities(pairs: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(id, community): Leiden communities of weighted pairs (a, b, score), named by their least id.
 
-    Every component is worked on by itself, in a fixed order, so results do not
-    vary.  A component of more than ``largest`` pairs is first cut into the groups
-    its strongest links make, so that no task gets an unbounded group.
+    Every component is worked on by itself, whole and in a fixed order, so results
+    do not vary and no link is left out.  One task holds a component's links.
     """
     kind = dict(pairs.dtypes)["a"]
-
-    def grouped(links: DataFrame) -> DataFrame:
-        label = components(links)
-        return staged(links.join(label, F.col("a") == F.col("id")).select("a", "b", "score", "component"), "grouped")
-
-    rows = grouped(pairs)
-    for cut in (0.6, 0.7, 0.8, 0.9):
-        sizes = rows.groupBy("component").count()
-        big = sizes.where(F.col("count") > largest).select("component")
-        if big.isEmpty():
-            break
-        small = rows.join(big, "component", "left_anti")
-        rows = small.select("a", "b", "score", "component").unionByName(grouped(rows.join(big, "component", "left_semi").where(F.col("score") >= cut).drop("component")))
+    pairs = staged(pairs, "pairs")
+    rows = pairs.join(components(pairs), F.col("a") == F.col("id")).select("a", "b", "score", "component")
     return rows.groupBy("component").applyInPandas(lambda pdf: _leiden(pdf, resolution), f"id {kind}, community {kind}")
 
 

@@ -151,6 +151,13 @@ def test_communities(spark):
     assert {r["component"] for r in M.components(chain).collect()} == {0}
 
 
+def test_large_components_keep_weakly_linked_members(spark):
+    clique = [(a, b, 0.95) for a in range(205) for b in range(a + 1, 205)]
+    df = spark.createDataFrame(clique + [(204, 300, 0.3), (300, 301, 0.3)], "a long, b long, score double")
+    got = {r["id"]: r["community"] for r in M.communities(df).collect()}
+    assert got.keys() == {*range(205), 300, 301} and {got[v] for v in range(205)} == {0}
+
+
 def graph(spark):
     return SpecGraph(
         spark.createDataFrame([("s1", "Cache spec", "active", 1, "s1.md", 10), ("s2", "Old", "deprecated", 1, "s2.md", 5)], "id string, title string, status string, version int, file_path string, ts_ms long"),
