@@ -2,7 +2,11 @@
 
 A recursive pattern takes comment, signature and balanced body of a function
 together; strings and comments inside are stepped over whole, so brackets in
-them do not count.  Captures whose documentation says nothing are dropped.
+them do not count.  A second pattern of the same groups takes the comment apart,
+line by line: sections, directives, placeholders, tags, fields and code (calls
+with balanced arguments) are captured apart from prose.  A function is paired
+only if the first pattern captures it whole and the second captures prose that
+tells more than the name.
 """
 
 from __future__ import annotations
@@ -15,15 +19,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# One unit of source: documentation, then a signature with balanced parentheses, then a balanced body if there is one.
-_UNIT = regex.compile(
-    r"""
+# Groups that both patterns call: strings, remarks and balanced brackets around them.
+_SHARED = r"""
     (?(DEFINE)
       (?P<string> "(?:[^"\\\n]|\\.)*+" | '(?:[^'\\\n]|\\.)*+' | `(?:[^`\\]|\\.)*+` )
       (?P<remark> /\*(?:[^*]|\*(?!/))*+\*/ | //[^\n]*+ )
       (?P<round>  \( (?: [^()"'`/]++ | (?&string) | (?&remark) | (?&round) | ["'`/] )*+ \) )
       (?P<curly>  \{ (?: [^{}"'`/]++ | (?&string) | (?&remark) | (?&curly) | ["'`/] )*+ \} )
     )
+"""
+# One unit of source: documentation, then a signature with balanced parentheses, then a balanced body if there is one.
+_UNIT = regex.compile(
+    _SHARED
+    + r"""
     (?P<doc> /\*(?:[^*]|\*(?!/))*+\*/ | (?: ^[ \t]*(?://|\#|--)[^\n]*+(?:\n|\Z) )++ )
     [ \t]*\n*+
     (?P<signature> (?: ^[ \t]*+@[\w.]++(?&round)?\s*+ )*+
@@ -62,8 +70,7 @@ _GENERIC = frozenset(
     "void none null nil undefined string number int integer bool boolean float double any object array list type value param "
     "result default overridden override inherited here".split()
 )
-_PLACEHOLDER = regex.compile(
-    r"""(?ix) ^\W*(?:
+_PLACEHOLDER = r"""^\W*(?:
       (?:todo|fixme|xxx|hack|tbd|tba|wip)\b.* | n/?a | none | null | nil | tbd | undocumented | placeholder | stub | lorem\ ipsum.*
       | (?:no|missing|add|insert|write|needs?|put|enter|your|some)\s+(?:a\s+|the\s+|some\s+|your\s+|method\s+|function\s+)*(?:description|documentation|docs?|docstring|comments?|javadoc|jsdoc|summary|text)(?:\s+(?:here|yet|available|provided|given|needed|missing|goes\s+here|to\s+be\s+(?:added|done|written)))*
       | (?:description|documentation|docs?|docstring|comments?|text|summary)(?:\s+(?:goes|is|to\s+be|will\s+be|here|missing|pending|needed|added|follows|later|written|done|todo))*
@@ -73,35 +80,43 @@ _PLACEHOLDER = regex.compile(
       | (?:нет|без)\s+(?:описания|документации) | описание\s+отсутствует | (?:добавить|дописать)\s+описание
       | (?:暂无|没有|无|缺少|待补充?|待写|待完善|待定|请?(?:补充|添加|填写)|此处)?(?:说明|描述|文档|注释|简介)?(?:待补充|缺失|待写|待定|待完善|略|暂无)? | 待(?:补充|定|办|完善|写) | (?:未記入|説明なし|説明未記入|未記載|なし)
     )\W*$"""
-)
-_DIRECTIVE = regex.compile(
-    r"""(?ix) ^\W*(?:
+_DIRECTIVE = r"""^\W*(?:
       (?:pylint|flake8|mypy|pyright|pyre|pytype|isort|yapf|fmt|ruff|black|bandit|nosec|eslint|eslint-env|jshint|jslint|tslint|stylelint|standard|xo|rslint|biome|deno|rustfmt|clippy|golangci|gofmt|swiftlint|swiftformat|ktlint|detekt|checkstyle|spotless|pmd|findbugs|spotbugs|sonar|resharper|codespell|cspell|spell-?checker|shellcheck|markdownlint|prettier|clang-format|clang-tidy|cppcheck|lint|uncrustify|astyle|doxygen|phpcs|phpstan|psalm|rubocop|istanbul|c8|v8|nyc|coverage|lcov|gcov|jacoco|webpack[a-z]*|vite|rollup|globals?|exported|language|vim?|ex|emacs|kate|analysis|dart|ignore_for_file)\s*(?:[:=]|\s(?:ignore|disable|enable|off|on|next|file|skip|format|push|pop)|[-_.]?(?:ignore|disable|enable|format|lint|off|on)\b).*
       | (?:noqa|nolint(?:next(?:line)?|begin|end)?|nosec|nosonar|nocheck|noinspection|no-op|noop|prettier-ignore(?:-\w+)*|pragma|region|endregion|end\s?region|istanbul|type:\s*ignore|go:\w+|\+build|line\s\d+|biome-ignore|deno-(?:lint|fmt)-ignore\S*|formatter:\s*(?:on|off)|checkstyle:\s*(?:on|off)|eslint-\S+|tslint:\S+|stylelint-\S+|cspell:\S+|jscs:\S+|jshint\S*|c8\s\S+|fall-?through|ts-(?:ignore|nocheck|check|expect-error)|use\s+strict|clang-format\s+(?:on|off)|coding[:=]\s*\S+|-\*-.*-\*-|NOLINT\S*|(?:vi|vim|ex):\s*\S+|swiftlint:\S+|sourcery:\S+|mark:|lint:\S+|spell-?checker:\S+|keep-sorted\s+\S+)(?:[\s:(\[].*)?
     )$"""
-)
-_LICENCE = regex.compile(
-    r"""(?ix)
+_NOTICE = r"""
       \bspdx-license-identifier\b | \bcopyright\b | © | \(c\)\s*(?:19|20)\d\d | \ball\s+rights\s+reserved\b | \blicen[cs]ed?\s+(?:under|to)\b | \blicen[cs]e\b.*\b(?:terms|file|details|agreement|compliance|copy)\b | \b(?:mit|bsd|apache|gpl|lgpl|mpl|isc)[-\s]+(?:public\s+)?licen[cs]e | ^\W*licen[cs]e\W*\S*\W*$
       | \bpermission\s+is\s+hereby\s+granted\b | \bthe\s+software\s+is\s+provided\b | \bas\s+is\W+(?:basis|without) | \bredistribution\s+and\s+use\b | \bredistributions?\s+(?:of|in)\b | \bwarrant(?:y|ies)\b.*\b(?:merchantability|express|implied|kind|any)\b | \bwithout\s+warrant | \bfree\s+software\s+foundation\b | \bthis\s+program\s+is\s+free\s+software\b | \bunless\s+required\s+by\s+applicable\s+law\b | \bin\s+compliance\s+with\s+the\s+licen[cs]e\b | \bmerchantability\b | \bliable\s+for\s+any\b
       | ^\W*this\s+(?:file|code|software|program|library|module|source)\s+(?:belongs\s+to|is\s+part\s+of|may\s+(?:only\s+)?be\s+(?:used|copied|distributed)|is\s+(?:distributed|released|provided|subject)) | ^\W*(?:it|the\s+(?:software|code|program|file|work))\s+(?:may|can|must)\s+(?:not\s+)?(?:only\s+)?be\s+(?:used|copied|distributed|redistributed|modified)\b | ^\W*the\s+(?:software|program|work|code)\s+is\s+(?:provided|distributed|supplied|delivered|given|offered|licen[cs]ed)\b | ^\W*you\s+(?:may|should)\s+(?:not\s+)?(?:obtain|have\s+received|use\s+this|copy) | \bterms\s+of\s+the\s+licen[cs]e\b | \bthis\s+(?:notice|header|licen[cs]e)\b | \bsee\s+(?:the\s+)?(?:file\s+)?licen[cs]e\b
       | ^\W*(?:auto(?:matically)?[-\s]?)?(?:created|generated|written|developed|authored|maintained|modified|added|scaffolded|produced|made)\s+(?:automatically|by|with|using|from|on|at|via)\b | ^\W*auto(?:matically)?[-\s]?generated\b | ^\W*(?:this\s+)?(?:file|code|class|method|function|stub|it)\s+(?:is|was|has\s+been)\s+(?:auto(?:matically)?[-\s]?)?(?:generated|created)\b | \bdo\s+not\s+(?:edit|modify)\b | ^\W*(?:authors?|maintainers?|contributors?|e-?mail|created|date|since|version|revision|origin|source|file(?:name)?|project|company|vendor)\s*[:：]\s
     """
-)
-_TAG_ALONE = regex.compile(r"^\W*[@\\:{]\s*[@\\]?(?:see|link|linkplain|author|since|version|date|file|copyright|license|licence|module|package|namespace|memberof|alias|name|kind|type|access|public|private|protected|internal|static|readonly|abstract|async|override|overrides|inheritdoc|inheritDoc|export|exports|api|category|group|ingroup|defgroup|addtogroup|hidden|ignore|generated|beta|alpha|experimental|virtual|final|function|func|fn|method|class|constructor|constructs|event|fires|mixin|enum|typedef|template|tparam|suppress|nocollapse|ts-\w+|jsx\w*|flow|format|preserve|test|group)\b.*$", regex.I)
-_TAG_TEXT = regex.compile(
-    r"^\W*(?:@|\\|:)(?P<tag>param|parameter|arg|argument|property|prop|field|raises|throws|throw|exception|except|return|returns|result|retval|yield|yields|deprecated|note|warning|example|details|brief|summary|remarks|description|desc|todo|since|precondition|postcondition|invariant|pre|post|apiNote|implNote|implSpec)\b(?P<rest>.*)$", regex.I
-)
-_SECTION = regex.compile(r"^\W*(?:args|arguments|params|parameters|returns?|raises|throws|yields?|attributes|examples?|notes?|keyword args|kwargs|usage|see also|todo|references)\s*[:：]?\s*[-=~]*$", regex.I)
-_FIELD = regex.compile(r"^\s*[`*]*\w+[`*]*\s*(?:\([^)]*\))?\s*[:：–-]\s*(?:[\w\[\], .|<>?]{0,24})?$")
-_CODE = regex.compile(
-    r"""(?x) ^\s*(?:
+# A tag that has no text of its own, a tag with the text after it, a heading of a list of fields, a field without text, and code.
+_TAG_ALONE = r"""^\W*[@\\:{]\s*[@\\]?(?:see|link|linkplain|author|since|version|date|file|copyright|license|licence|module|package|namespace|memberof|alias|name|kind|type|access|public|private|protected|internal|static|readonly|abstract|async|override|overrides|inheritdoc|inheritDoc|export|exports|api|category|group|ingroup|defgroup|addtogroup|hidden|ignore|generated|beta|alpha|experimental|virtual|final|function|func|fn|method|class|constructor|constructs|event|fires|mixin|enum|typedef|template|tparam|suppress|nocollapse|ts-\w+|jsx\w*|flow|format|preserve|test|group)\b.*$ | ^\s*@[\w.\-]+(?:\(.*\))?\s*$ | ^\s*:\w+(?:\s+\w+)?:\s*$"""
+_TAG_TEXT = r"""^\W*(?:@|\\|:)(?P<name>param|parameter|arg|argument|property|prop|field|raises|throws|throw|exception|except|return|returns|result|retval|yield|yields|deprecated|note|warning|example|details|brief|summary|remarks|description|desc|todo|since|precondition|postcondition|invariant|pre|post|apiNote|implNote|implSpec)\b(?P<rest>.*)$"""
+_SECTION = r"""^\W*(?:args|arguments|params|parameters|returns?|raises|throws|yields?|attributes|examples?|notes?|keyword\ args|kwargs|usage|see\ also|todo|references)\s*[:：]?\s*[-=~]*$"""
+_FIELD = r"""^\s*[`*]*\w+[`*]*\s*(?:\([^)]*\))?\s*[:：–-]\s*(?:[\w\[\], .|<>?]{0,24})?$"""
+_CODE = r"""^\s*(?:
         .*[;{}]\s*$ | \}.* | [\w.$\[\]>-]+\s*(?:=|\+=|-=|:=|\*=|\+\+|--)(?!=)\s*\S.* | (?:return|await|yield|throw|raise|new|delete|echo)\s+[\w.$]+\s*[(\[.].* | (?:return|break|continue|pass)\s*\w*\s*;?
         | (?:const|let|var|val|int|auto|final|static|public|private)\s+\w+.*[=;(].* | (?:if|for|while|switch|elif|else\ if|foreach|catch|with)\s*\(.*\).* | (?:if|for|while|elif|with)\s.*:\s*$ | else\s*[:{]?\s*$ | try\s*[:{]\s*$
         | (?:async\s+)?(?:def|fn|func|function|fun)\s+\w+\s*\(.*\).* | (?:from\s+\S+\s+)?import\s+[\w.{}*,\s"'/@]+$ | \#\s*include\b.* | using\s+[\w.]+\s*;? | package\s+[\w.]+\s*;?
-        | [\w.$]+(?:::\w+)*\s*\((?:[^()"']|"[^"]*"|'[^']*'|\([^()]*\))*\)\s*(?:\.\w+\(.*\))*\s*;?\s*$ | assert\s.*[=<>(].* | print\s+["'].* | >>>\s.* | \$\s\S.* | @\w+\(.*\)\s*$ | <\/?\w+[^>]*>\s*$ | (?:[\w.]+\s*,\s*)*[\w.]+\s*=>\s*.* | lambda\s+\w+\s*:.*
+        | [\w.$]+(?:::\w+)*\s*(?&round)\s*(?:\.\w+(?&round))*\s*;?\s*$ | assert\s.*[=<>(].* | print\s+["'].* | >>>\s.* | \$\s\S.* | @\w+\(.*\)\s*$ | <\/?\w+[^>]*>\s*$ | (?:[\w.]+\s*,\s*)*[\w.]+\s*=>\s*.* | lambda\s+\w+\s*:.*
     )$"""
-)
+_SENTENCE_LIKE = r"""^\p{Lu}\p{Ll}+\s\p{Ll}+\s.*[.!?]$"""
+
+
+def _lines_of(*kinds: str) -> regex.Pattern:
+    """A pattern that captures a line of a comment as the first of the kinds it fits, else as prose."""
+    rules = {
+        "section": f"(?i:{_SECTION})", "directive": f"(?i:{_DIRECTIVE})", "placeholder": f"(?i:{_PLACEHOLDER})", "tagged": f"(?i:{_TAG_TEXT})", "tag": f"(?i:{_TAG_ALONE})", "field": _FIELD,
+        "told": _SENTENCE_LIKE, "code": _CODE, "notice": f"(?= .*? (?i:{_NOTICE}) ) .*", "prose": ".*",
+    }
+    return regex.compile(_SHARED + " | ".join(f"(?P<{k}> {rules[k]} )" for k in (*kinds, "prose")), regex.VERBOSE)
+
+
+_LINE = _lines_of("section", "directive", "placeholder", "tagged", "tag", "told", "code")
+_LINE_OF_SECTION = _lines_of("section", "directive", "placeholder", "tagged", "tag", "field", "told", "code")
+_TEXT_OF_TAG = _lines_of("told", "code")
+_SAID, _SAID_PLAINLY = _lines_of("notice", "placeholder", "directive"), _lines_of("placeholder", "directive")
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’]\p{L}+)?")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 _CAMEL = regex.compile(r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})")
@@ -111,6 +126,19 @@ _INLINE_TAG = regex.compile(r"\{@(?:inherit\w*|link\w*|see|code|literal|value)\b
 _SENTENCE = regex.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 
 
+_TYPE, _OPERAND = regex.compile(r"^\s*(?:\{[^{}]*\})?"), regex.compile(r"^(?:\[[^\]]*\]|[\w.$]+)\s*:?\s*[-–—]?\s*")
+# No notice is without one of these, so most sentences need no search for one.
+_NOTICE_HINTS = ("copyright", "licen", "rights", "©", "(c)", "permission", "software", "as is", "redistribut", "warrant", "program", "law", "merchant", "liable", "this", "notice", "header", "edit", "modify")
+_NOTICE_FIRST = regex.compile(r"\W*(?:this|it|the|you|auto|created|generated|written|developed|authored|maintained|modified|added|scaffolded|produced|made|file|code|class|method|function|stub|author|maintainer|contributor|e-?mail|date|since|version|revision|origin|source|project|company|vendor)", regex.I)
+
+
+def _tells(sentence: str) -> bool:
+    low = sentence.lower()
+    pattern = _SAID if any(h in low for h in _NOTICE_HINTS) or _NOTICE_FIRST.match(low) else _SAID_PLAINLY
+    return pattern.fullmatch(sentence).lastgroup == "prose"
+
+
+@lru_cache(maxsize=100_000)
 def _stem(word: str) -> str:
     for end in ("ing", "ies", "ed", "es", "s"):
         if word.endswith(end) and len(word) - len(end) >= 3:
@@ -132,7 +160,11 @@ def _lines(doc: str) -> Iterator[str]:
         before = None
         while before != line:
             before, line = line, _LINE_MARKS.sub("", line)
-        yield _INLINE_TAG.sub(" ", _XML.sub(" ", line)).strip()
+        if "<" in line:
+            line = _XML.sub(" ", line)
+        if "{@" in line:
+            line = _INLINE_TAG.sub(" ", line)
+        yield line.strip()
 
 
 def description(doc: str | None, name: str | None) -> str:
@@ -146,40 +178,27 @@ def description(doc: str | None, name: str | None) -> str:
         return ""
     said = []
     section = False
-    lines = list(_lines(doc))
-    while lines and (not lines[-1]):
-        lines.pop()
-    solid = [x for x in lines if x]
-    for line in solid:
+    for line in _lines(doc):
         if not any(c.isalpha() for c in line):
             continue
-        if _SECTION.match(line):
+        found = (_LINE_OF_SECTION if section else _LINE).fullmatch(line)
+        kind = found.lastgroup  # groups inside a kind close before it
+        if kind == "section":
             section = True
-            continue
-        if _DIRECTIVE.match(line) or _PLACEHOLDER.match(line):
-            continue
-        if (tag := _TAG_TEXT.match(line)) is not None:
-            rest = regex.sub(r"^\s*(?:\{[^{}]*\})?", "", tag["rest"]).strip()
-            kind = tag["tag"].lower()
-            if kind in ("param", "parameter", "arg", "argument", "property", "prop", "field", "throws", "throw", "raises", "exception", "except"):
-                rest = regex.sub(r"^(?:\[[^\]]*\]|[\w.$]+)\s*:?\s*[-–—]?\s*", "", rest)
-            if kind == "todo" or len(_WORD.findall(rest)) < 2 and not _CJK.search(rest):
+        elif kind == "tagged":
+            line = _TYPE.sub("", found["rest"]).strip()
+            tag = found["name"].lower()
+            if tag in ("param", "parameter", "arg", "argument", "property", "prop", "field", "throws", "throw", "raises", "exception", "except"):
+                line = _OPERAND.sub("", line)
+            if tag == "todo" or len(_WORD.findall(line)) < 2 and not _CJK.search(line):
                 continue
-            line = rest
-        elif _TAG_ALONE.match(line) or regex.match(r"^\s*@[\w.\-]+(?:\(.*\))?\s*$", line) or regex.match(r"^\s*:\w+(?:\s+\w+)?:\s*$", line):
-            continue
-        elif section and _FIELD.match(line):
-            continue
-        if _CODE.match(line) and not regex.match(r"^\p{Lu}\p{Ll}+\s\p{Ll}+\s.*[.!?]$", line):
-            continue
-        for sentence in _SENTENCE.split(line):
-            if not sentence or _LICENCE.search(sentence) or _PLACEHOLDER.match(sentence) or _DIRECTIVE.match(sentence):
-                continue
-            said.append(sentence)
+            kind = _TEXT_OF_TAG.fullmatch(line).lastgroup
+        if kind in ("prose", "told"):
+            said += [sentence for sentence in _SENTENCE.split(line) if sentence and _tells(sentence)]
     text = " ".join(said).strip()
     if not text:
         return ""
-    if len(_CJK.findall(text)) >= 2:
+    if not text.isascii() and len(_CJK.findall(text)) >= 2:
         return text
     stems = _name_stems(name or "")
     for word in _WORD.findall(text):
@@ -203,11 +222,14 @@ def _as_source(doc: str, signature: str) -> str:
     return "/**\n" + doc.replace("*/", "* /") + "\n*/\n" + signature
 
 
-def _capture(doc: str, signature: str) -> str:
-    """The documentation a recursive match finds in front of the signature."""
-    m = _UNIT.match(_as_source(doc, signature.strip()))
-    # A signature without parentheses or with unbalanced ones is taken as it stands.
-    return m["doc"] if m else doc
+def _capture(doc: str, signature: str) -> str | None:
+    """The documentation that the recursive pattern captures in front of the signature, or None.
+
+    A signature that was cut off, or has no parentheses, is still one: the comment
+    is captured in front of an empty one.
+    """
+    m = _UNIT.fullmatch(_as_source(doc, signature.strip())) or _UNIT.match(_as_source(doc, "()"))
+    return m and m["doc"]
 
 
 def newest(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
@@ -235,7 +257,7 @@ def describe_pairs(df: DataFrame, id_column: str, name: str, docstring: str, sig
             out = [
                 (key, signature, said)
                 for key, name, doc, signature in zip(*(c.to_pylist() for c in batch.columns))
-                if (said := description(_capture(doc, signature), name))
+                if (captured := _capture(doc, signature)) and (said := description(captured, name))
             ]
             columns = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["id", "signature", "description"])

@@ -24,6 +24,8 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of items that one block holds; a larger item set takes several passes over the documents.
 BLOCK_CHARS = 32_000_000
+#: Shared windows of a document that are held at once, give or take those of one item.
+HITS = 4_000_000
 
 
 def words(text: str) -> list[str]:
@@ -71,31 +73,49 @@ class ItemIndex:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in words(text)], np.int64)
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in item, place in document) of each shared window."""
-        none = (np.empty(0, np.int64),) * 3
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place in item, place in document) of the shared windows, some items at a time.
+
+        A window that many items and many places of the document repeat meets all of
+        them; items are taken in runs so that no more than HITS of these are held.
+        """
         if len(codes) < self.width or not len(self.keys):
-            return none
+            return
         unknown = np.concatenate([[0], np.cumsum(codes == 0)])
         at = np.flatnonzero(unknown[self.width :] == unknown[: -self.width])
         if not len(at):
-            return none
+            return
         h = self._roll(codes)[at]
         found = np.searchsorted(self.keys, h)
         found[found == len(self.keys)] = 0
         ok = self.keys[found] == h
         at, found = at[ok], found[ok]
         if not len(at):
-            return none
-        n = self.stop[found] - self.start[found]
-        rows = np.repeat(self.start[found] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return self.owner[rows], self.place[rows], np.repeat(at, n)
+            return
+        # Windows of one hash are stored by item: a run of items is a slice of each window's places.
+        each, times = np.unique(found, return_counts=True)
+        per_item = np.zeros(len(self.ids), np.int64)
+        for w, t in zip(each, times):
+            np.add.at(per_item, self.owner[self.start[w] : self.stop[w]], t)
+        runs = np.cumsum(per_item) // HITS
+        order = np.argsort(found, kind="stable")
+        at, found = at[order], found[order]
+        for run in np.unique(runs[per_item > 0]):
+            lo, hi = np.flatnonzero(runs == run)[[0, -1]]
+            first = {w: (self.start[w] + np.searchsorted(self.owner[self.start[w] : self.stop[w]], lo), self.start[w] + np.searchsorted(self.owner[self.start[w] : self.stop[w]], hi, "right")) for w in each}
+            begin, end = (np.array([first[w][k] for w in each]) for k in (0, 1))
+            where = np.searchsorted(each, found)
+            n = (end - begin)[where]
+            if n.sum():
+                rows = np.repeat(begin[where] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                yield self.owner[rows], self.place[rows], np.repeat(at, n)
 
     def tile(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(item, longest tile, tiles, covered words, words of the item) for each item that shares a window."""
-        item, place, at = self.hits(codes)
-        if not len(item):
-            return
+        for item, place, at in self.hits(codes):
+            yield from self._tile(codes, item, place, at)
+
+    def _tile(self, codes: np.ndarray, item: np.ndarray, place: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         diagonal = at - place
         order = np.lexsort((at, diagonal, item))
         item, place, at, diagonal = item[order], place[order], at[order], diagonal[order]
@@ -166,10 +186,10 @@ def tile_leaks(
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).where("text is not null")
     out = None
     for block in _blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(ItemIndex(block, min_match))  # built once; its size goes with BLOCK_CHARS
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, min_match)
+            index = shared.value
             for batch in batches:
                 rows = []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -6,8 +6,11 @@
 2. Every letter is replaced by the name of its look-alike class.
 3. Each word is a lattice of the letters its classes allow.  Viterbi picks the
    path with the best character bigram score, where a path pays for leaving
-   its script.  The lattice depends on the looks alone, hence so does the form:
-   two texts get the same form exactly if they look the same.
+   its script.  The letters of a class look the same in print, so the stored one
+   has no say.
+4. Characters that are alike but not the same in print (0 and o, 1, l and I) are
+   lattices too, where they stand between letters; here a path pays for leaving
+   the stored character, and only the score can make two such texts equal.
 """
 
 from __future__ import annotations
@@ -183,11 +186,18 @@ def fit_scripts(df: DataFrame, text: str) -> dict[str, dict]:
 SCRIPT_CHANGE = 12.0
 
 
+#: What a path pays for another reading than the stored character, and for a step between letter and digit.
+REREAD, DIGIT_STEP = 9.0, 7.0
+# Characters that are alike in many typefaces, as they may be read between letters.
+READINGS = {"0": "0oO", "1": "1lI", "I": "Il"}
+_UNSURE, _RUN = re.compile(r"(?<=[^\W\d_])[01](?=[^\W\d_])|(?<=[a-z])I(?=[a-z])"), re.compile(r"[^\W_]+")
+
+
 class Speller:
-    """Picks the letters of a word from its look-alike lattice."""
+    """Picks the letters of a word from its look-alike lattice; ``scored`` off keeps every stored character that could be read otherwise."""
 
-    def __init__(self, model: dict[str, dict]):
-        self.pair, self.one = model["pair"], model["one"]
+    def __init__(self, model: dict[str, dict], scored: bool = True):
+        self.pair, self.one, self.scored = model["pair"], model["one"], scored
         # Besides a class's own name only letters that the corpus's words of one script use can win.
         kept = {name: (name, *[c for c in letters[1:] if c in self.one]) for name, letters in _lattice().items()}
         self.lattice = {name: letters for name, letters in kept.items() if len(letters) > 1}
@@ -230,8 +240,27 @@ class Speller:
             out = self.memo[word] = self._viterbi(word) if any(c in lattice for c in word) else word
         return out
 
+    def _reread(self, word: str) -> str:
+        """A word with characters between letters that could be read in several ways, as it scores best."""
+        out = self.memo.get("\0" + word)
+        if out is None:
+            paths = [(0.0, "^", "")]
+            for i, ch in enumerate(word):
+                inside = 0 < i < len(word) - 1 and word[i - 1].isalpha() and word[i + 1].isalpha()
+                steps = []
+                for c in READINGS.get(ch, ch) if inside else ch:
+                    for s, last, done in paths:
+                        cost = -self._step(last, c) if c.isalpha() and (last == "^" or last.isalpha()) else DIGIT_STEP if c.isalpha() != last.isalpha() and last != "^" else 0.0
+                        steps.append((s + cost + (REREAD if c != ch else 0.0), c, done + c))
+                best = {c: min(x for x in steps if x[1] == c) for _, c, _ in steps}
+                paths = list(best.values())
+            out = self.memo["\0" + word] = min((s, done) for s, _, done in paths)[1]
+        return out
+
     def text(self, text: str) -> str:
         looks = skeleton(text)
+        if self.scored and _UNSURE.search(looks):
+            looks = _RUN.sub(lambda m: self._reread(m[0]) if _UNSURE.search(m[0]) else m[0], looks)
         pieces = (_ASCII_PIECES if looks.isascii() else _PIECES).split(looks)
         known, word = self.memo.get, self.word
         pieces[1::2] = [known(p) or word(p) for p in pieces[1::2]]
@@ -239,7 +268,7 @@ class Speller:
         return formed if formed.isascii() else unicodedata.normalize("NFC", formed)
 
 
-def normalise(df: DataFrame, text: str, out: str = "text_form", model: dict | None = None) -> DataFrame:
+def normalise(df: DataFrame, text: str, out: str = "text_form", model: dict | None = None, scored: bool = True) -> DataFrame:
     """``df`` with the column ``out``: the form of ``text`` that all look-alike texts share.
 
     Null stays null, an empty text stays empty, whole texts are read whatever
@@ -251,7 +280,7 @@ def normalise(df: DataFrame, text: str, out: str = "text_form", model: dict | No
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(shared.value)
+        speller = Speller(shared.value, scored)
         for batch in batches:
             forms = [None if t is None else speller.text(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], names=[*batch.schema.names, out])
@@ -259,22 +288,32 @@ def normalise(df: DataFrame, text: str, out: str = "text_form", model: dict | No
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def lookalike_classes(df: DataFrame, id_column: str, text: str, model: dict | None = None) -> DataFrame:
-    """(id, class_id, stored): hashes of the shared form and of the stored text, for each non-null text."""
-    formed = normalise(df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("text is not null"), "text", "form", model)
-    return formed.select("id", F.unhex(F.sha2("form", 256)).alias("class_id"), F.unhex(F.sha2("text", 256)).alias("stored"))
+def lookalike_classes(df: DataFrame, id_column: str, text: str, model: dict | None = None, scored: bool = True) -> DataFrame:
+    """(id, class_id, stored, n_rows, n_links): one row per non-null text with the class of texts that look like it.
+
+    class_id and stored are hashes of the shared form and of the stored text;
+    n_rows counts the rows of the class, n_links those among them whose stored text
+    is another one.  Counted by sums only, so a class of any size is no burden.
+    """
+    formed = normalise(df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("text is not null"), "text", "form", model, scored)
+    rows = staged(formed.select("id", F.sha2("form", 256).alias("class_id"), F.sha2("text", 256).alias("stored")), "lookalikes")
+    same = rows.groupBy("class_id", "stored").agg(F.count(F.lit(1)).alias("n_same"))
+    sizes = same.groupBy("class_id").agg(F.sum("n_same").alias("n_rows"), F.count(F.lit(1)).alias("n_forms")).where("n_forms > 1")
+    mixed = same.join(sizes, "class_id").select(F.col("class_id").alias("m_class"), F.col("stored").alias("m_stored"), "n_rows", (F.col("n_rows") - F.col("n_same")).alias("n_links"))
+    joined = rows.join(mixed, (F.col("class_id") == F.col("m_class")) & (F.col("stored") == F.col("m_stored")), "left")
+    return joined.select("id", "class_id", "stored", "n_rows", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def lookalike_pairs(df: DataFrame, id_column: str, text: str, model: dict | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose stored texts differ but look the same.
 
-    Null texts take no part; rows with equal stored texts are no pair.  Only
-    classes with two different stored texts are joined; a hot class is spread.
+    Null texts take no part; rows with equal stored texts are no pair.  A view of
+    the classes for callers who need pairs: only members with links are joined, and
+    a hot class is spread.  Its rows grow with the square of a class's different
+    texts; ``lookalike_classes`` says the same in one row per text.
     """
-    rows = staged(lookalike_classes(df, id_column, text, model), "lookalikes")
-    mixed = rows.groupBy("class_id").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("class_id")
-    members = staged(rows.join(mixed, "class_id", "left_semi").withColumn("class_key", F.hex("class_id")).drop("class_id"), "twins")
-    a = members.select(F.col("id").alias("id_a"), F.col("stored").alias("stored_a"), F.col("class_key").alias("key_a"))
-    b = members.select(F.col("id").alias("id_b"), F.col("stored").alias("stored_b"), F.col("class_key").alias("key_b"))
+    members = staged(lookalike_classes(df, id_column, text, model).where("n_links > 0").select("id", "class_id", "stored"), "twins")
+    a = members.select(F.col("id").alias("id_a"), F.col("stored").alias("stored_a"), F.col("class_id").alias("key_a"))
+    b = members.select(F.col("id").alias("id_b"), F.col("stored").alias("stored_b"), F.col("class_id").alias("key_b"))
     joined = skew_join(a, b, "key_a", "key_b", share=0.05)
     return joined.where("id_a < id_b and stored_a <> stored_b").select("id_a", "id_b").distinct()

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.lookalike import skeleton
+
 # Other spellings of language names.
 ALIASES = {
     "golang": "go", "py": "python", "python3": "python", "js": "javascript", "node": "javascript", "ts": "typescript", "c++": "cpp", "cxx": "cpp",
@@ -152,6 +154,30 @@ def rank_families(text: str) -> list[str]:
     return sorted(_EVIDENCE, key=lambda f: (-len(regex.findall(_EVIDENCE[f][0], text, regex.M)), f))
 
 
+# A line that declares or imports something in one of the families' languages.
+_DECLARATION = regex.compile(
+    r"""(?xm) ^[ \t]*+ (?: (?:export|public|private|protected|internal|static|async|abstract|final|override|pub|default|suspend|data|open|sealed)[ ]+ )*+
+    (?: def[ ]\w+[ ]*\( | class[ ]\w+(?:[ ]*[:{(<]|[ ](?:extends|implements)[ ]) | func[ ](?:\(\w+[ ][^)]*\)[ ])?\w+\( | fn[ ]\w+[(<] | function\*?[ ]?\w*\( | fun[ ][\w.<>]+\( | interface[ ]\w+[ ]\{
+      | (?:struct|enum)[ ]\w+[ ]*\{ | impl\b[^\n]*\{ | (?:const|let|var)[ ]\w+[ ]*(?::[^=\n]+)?= | [\w<>\[\],*&:]+[ ]\w+\([^()\n]*\)[ ]*(?:const[ ]*)?\{ )
+    | ^(?: import[ ][\w.{}*,\ "'@/]+;?$ | from[ ][\w.]+[ ]import\b | \#include[ ][<"] | package[ ][\w.]+;?$ | using[ ][\w.]+; | use[ ][\w:]+; )"""
+)
+
+
+def is_source(text: str | None) -> bool:
+    """Whether a text holds source code: a line of it declares something, its characters taken by their looks."""
+    return bool(text) and _DECLARATION.search(skeleton(text)) is not None
+
+
+def source_texts(df: DataFrame, text: str) -> DataFrame:
+    """The rows of ``df`` whose text is source code; null and empty texts are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([is_source(t) for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def diagnose(text: str | None, family: str) -> tuple[bool, str | None]:
     """(fits its own grammar, the foreign family it fits instead or None).
 
@@ -164,25 +190,76 @@ def diagnose(text: str | None, family: str) -> tuple[bool, str | None]:
 
 # ---- grammars of diagnostics ---------------------------------------------------------------------------------------
 
-_QUOTED = regex.compile(r"'[^'\n]*'|\"[^\"\n]*\"|`[^`\n]*`|“[^”]*”|«[^»]*»|「[^」]*」|‘[^’]*’")
-# Productions of the three kinds of diagnostics, over messages whose quotations are replaced by Q.
-_PRODUCTIONS = {
-    "tool": r"""(?x)\b(?:worker|plug-?in|extractor|daemon|process|service|cache|server|database|symbol\ table|parser\ instance|crash(?:ed|es)?|died|killed|heap|memory|stack\ overflow|time[ds]?[ -]?out|gave\ no\ answer|no\ answer|not\ responding|cancell?ed|aborted|permission|refused|access\ denied|vanished|disappeared|not\ readable|unreadable|(?:could|can)\s?not\ be\ (?:read|written|opened|loaded|stored|found\ on\ disk)|cannot\ (?:read|open|load|stat)|failed\ to\ (?:read|open|load|write|store|fetch)|io\ ?error|enoent|eacces|i/o|no\ such\ file|project\ root|larger\ than|too\ large|exceeds?|size\ limit|stopped\ after|skipped|not\ covered|unsupported|not\ supported|no\ grammar|not\ installed|installed\ for|colou?ring|highlight(?:er|ing)|utf-?8|encoding|internal\ error|nicht\ (?:lesbar|gelesen|geschrieben))\b|权限|无法(?:读取|写入|打开)|超时|崩溃|内存|不是源文件的问题|Zeitüberschreitung|abgestürzt|délai|mémoire""",
-    "meaning": r"""(?x)\b(?:imports?|modules?|packages?|dependenc(?:y|ies)|references?|symbols?|names?|identifiers?|variables?|types?|members?|fields?|methods?|functions?|class(?:es)?)\b.*\b(?:not\ found|unknown|undefined|undeclared|unresolved|missing\ from|could\ not\ be\ resolved|cannot\ be\ resolved|(?:declared|defined)\ twice|already\ (?:declared|defined)|duplicated?|redeclared|redefined|ambiguous|unused|never\ used|shadow(?:s|ed)|has\ no\ (?:member|method|field|property|attribute|overload|export)|is\ not\ (?:assignable|defined|callable|exported)|mismatch(?:es)?|incompatible)\b
-      |^\W*type[ -]?check|\b(?:unresolved|undefined|undeclared|duplicate|deprecated|deprecation|circular\ import|type\ error|not\ assignable|incompatible\ types?|unused|unreachable)\b|\bcannot\ (?:find|resolve)\b|未找到|未定义|重复|弃用|类型(?:错误|不)|nicht\ gefunden|doppelt|veraltet|introuvable""",
-    "recovered": r"(?i)\brecovered\b|\btree (?:is )?complete\b|\btolerated\b",
-    "grammar": r"""(?x)\b(?:syntax\ ?error|syntaxfehler|parse(?:r)?\ error|parsing\ (?:error|failed)|could\ not\ (?:be\ )?parsed?|cannot\ (?:be\ )?parsed?|unparsable|unexpected|unerwartet\w*|inattendue?|expected|erwartet|unterminated|unclosed|never\ closed|not\ closed|still\ open|left\ open|unbalanced|unmatched|mismatched|no\ partner|has\ no\ end|without\ (?:an?\ )?(?:end|start|opening|closing|partner)|no\ matching|missing\ (?:closing|opening|bracket|brace|paren\w*|semicolon|colon|comma|quote|token|end|Q)|ran\ out|stops?\ here|ends?\ (?:early|here|too\ soon|inside|within|before)|end\ of\ (?:input|file)|eof|dateiende|premature\w*|swallows|illegal\ (?:character|token|statement)|invalid\ (?:statement|token|character|syntax|declaration|expression|indent\w*)|not\ valid\ here|not\ allowed\ here|conflict\ marker|merge\ (?:conflict|marker)|error\ node|tree\ (?:is\ )?incomplete|incomplete\ tree|grammar\ mismatch|nothing\ recogni[sz]ed|stray|bad\ indentation|indentation|truncated|abgeschnitten|tronqué|garbled|fin\ de\ fichier|erreur\ de\ syntaxe|error\ de\ sintaxis)\b|синтаксическ|неожиданн|конец\ файла|语法错误|无法解析|解析(?:错误|失败)|意外(?:结束|的)|合并标记|缺少|未闭合|構文エラー""",
+# The terminals of diagnostics and the words that stand for them.
+TERMINALS = {
+    "Y": "syntaxerror syntaxfehler",
+    "S": "syntax parse parser parsing parsed unparsable grammar 语法 解析",
+    "R": "error errors fehler mismatch 错误 无法",
+    "E": "token tokens identifier statement character characters sequence literal string comment block bracket brace parenthesis klammer quote indentation marker markers conflict "
+    "declaration expression keyword operator semicolon comma line lines column node tree input rest 行 标记 合并",
+    "B": "unexpected invalid illegal unbalanced unterminated unclosed unmatched stray leftover malformed incomplete premature missing 意外 残留 缺少",
+    "T": "end eof dateiende stops ends ran open partner swallows spans closing closed truncated 结束",
+    "W": "expected found",
+    "Z": "no not nothing never without cannot",
+    "V": "valid allowed recognised recognized",
+    "C": "complete",
+    "M": "worker plugin instance extractor daemon process server scan table heap memory colouring highlighter indexer cache",
+    "G": "file path project root permission limit kind 文件",
+    "F": "died crashed vanished refused answer written read opened reached failed skipped covered supported installed free larger leaves stopped killed cancelled timeout",
+    "K": "import symbol symbols member type check module package reference variable name",
+    "D": "declared twice defined deprecated unused undefined unresolved duplicate ambiguous",
+    "X": "recovered tolerated",
+    "f": "a an the this that its of at on in near after before inside during for from to by where was is were has have had be been could since than but and here still out vor 第 处 在",
+}
+_TERMINAL = {word: letter for letter, words in TERMINALS.items() for word in words.split()}
+_LEXEME = regex.compile(
+    r"""(?x) (?P<Q>'[^'\n]*'|"[^"\n]*"|`[^`\n]*`|“[^”]*”|«[^»]*»|「[^」]*」|‘[^’]*’) | (?P<n>\p{N}+(?:[.:-]\p{N}+)*)
+    | (?P<w>"""
+    + "|".join(sorted((w for w in _TERMINAL if not w.isascii()), key=len, reverse=True))
+    + r"""|[\p{L}--\p{Han}][[\p{L}\p{M}\p{N}_]--\p{Han}]*) | (?P<p>[,:;，：；.。]) | (?P<x>\S)""",
+    regex.V1,
+)
+
+
+def terminals(message: str) -> str:
+    """A diagnostic as a string of terminals: one letter a word, Q a quotation, n a number, a comma a mark between clauses, x any other word or sign."""
+    out = []
+    for m in _LEXEME.finditer(message):
+        out.append(_TERMINAL.get(m["w"].lower(), "x") if m["w"] else "," if m["p"] else "x" if m["x"] else m.lastgroup)
+    return "".join(out)
+
+
+# Productions over terminals.  Operands (fxQn) may stand between the parts of a complaint; a word of another grammar ends the derivation.
+_RULES = r"""(?(DEFINE)
+    (?P<o> [fxQn]*+ )
+    (?P<thing> [EGK] (?&o) (?: [EGK] (?&o) )*+ )
+    (?P<flaw> B (?&o) (?&thing)?+ (?: T (?&o) )?+ | (?&thing) (?: R (?&o) )?+ (?: [TB]++ | Z (?&o) [TV] ) | T (?&o) (?&thing) | R (?&o) (?&thing) T
+        | W (?&o) (?: (?&thing) W )?+ | Z (?&o) V | S (?&o) R | R (?&o) S | Y )
+    (?P<complaint> [fxQn,]*+ (?&flaw) (?: (?&flaw) | [,EGfxQn] )*+ )
+    (?P<agent> [MGSEKxQfn]* )
+    (?P<failure> (?: Z (?&o) )? (?&agent) (?: Z (?&o) )? F [^XD]*+ )
+    (?P<nonsense> (?: [,f]* (?: K [^FX]*? (?: D | Z (?&o) [KW] ) | S (?&o) D ) [^X]*+ ) )
+    (?P<recovery> [fxQn,]*+ X (?&o) (?&flaw) (?&o) ,? (?: E (?&o) C )?+ [fxQn,]*+ )
+)"""
+#: What each kind of diagnostic must derive to, from end to end, and the terminals that speak for it.
+GRAMMARS = {
+    "tool": (regex.compile(_RULES + "(?&failure)", regex.X), "MFG"),
+    "meaning": (regex.compile(_RULES + "(?&nonsense)", regex.X), "KD"),
+    "recovered": (regex.compile(_RULES + "(?&recovery)", regex.X), "XC"),
+    "grammar": (regex.compile(_RULES + "(?&complaint)", regex.X), "YSREBTWV"),
 }
-_GRAMMARS = {k: regex.compile(v, regex.I) for k, v in _PRODUCTIONS.items()}
-#: Grammars are tried in this order when a message has tokens of several.
-_TRY = ("tool", "meaning", "recovered", "grammar")
 
 
 @lru_cache(maxsize=100_000)
 def kind_of(message: str) -> str:
-    """tool, meaning, recovered, grammar, or '' for a message that no grammar of diagnostics derives."""
-    plain = _QUOTED.sub("Q", message)
-    return next((k for k in _TRY if _GRAMMARS[k].search(plain)), "")
+    """tool, meaning, recovered, grammar, or '' for a message that no grammar derives.
+
+    The grammars are ranked by the message's terminals and tried in that order;
+    the first that derives the whole message names its kind.
+    """
+    letters = terminals(message)
+    ranked = sorted(GRAMMARS, key=lambda k: -sum(letters.count(t) for t in GRAMMARS[k][1]))
+    return next((k for k in ranked if GRAMMARS[k][0].fullmatch(letters)), "")
 
 
 _OBJECT = regex.compile(r"\{(?:[^{}\"]++|\"(?:[^\"\\]|\\.)*+(?:\"|\Z)|(?R))*+(?:\}|\Z)")

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.docpairs import describe_pairs, extract_units, newest
 from graphloom.llm.handwritten import machine_made, text_profiles
 from graphloom.llm.leaks import tile_leaks
-from graphloom.llm.lookalike import lookalike_pairs, normalise
+from graphloom.llm.lookalike import lookalike_classes, lookalike_pairs, normalise
 from graphloom.llm.mixing import Mix, count_tokens, mix_sources
-from graphloom.llm.parsing import parse_texts, unparsed_files
+from graphloom.llm.parsing import parse_texts, source_texts, unparsed_files
 from graphloom.llm.terms import term_frequencies
+from graphloom.runtime import staged
 from graphloom.sources.tables import table
 
 
@@ -28,9 +29,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_snippet_units(spark: SparkSession, d: str) -> DataFrame:
-    """Documented functions in the source texts among the documents."""
-    docs = table(spark, d, "documents").where("source = 'snippets'")
-    return extract_units(docs, "doc_id", "text")
+    """Documented functions in the source texts among all documents, whatever source they are filed under."""
+    return extract_units(source_texts(table(spark, d, "documents"), "text"), "doc_id", "text")
 
 
 def p3_term_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_snippets(spark: SparkSession, d: str) -> DataFrame:
     """Source texts among the documents, parsed against all grammars."""
-    docs = table(spark, d, "documents").where("source = 'snippets'")
+    docs = source_texts(table(spark, d, "documents"), "text")
     return parse_texts(docs.withColumn("label", F.lit(None).cast("string")), "doc_id", "text", "label")
 
 
@@ -85,7 +85,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_text_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Rule reuse, literals and shared rules of the source texts among the documents."""
-    docs = table(spark, d, "documents").where("source = 'snippets'")
+    docs = source_texts(table(spark, d, "documents"), "text")
     return text_profiles(docs, "doc_id", "text", "project")
 
 
@@ -103,7 +103,8 @@ def p6_tiles(spark: SparkSession, d: str) -> DataFrame:
 
 def _mix(spark: SparkSession, d: str) -> Mix:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    return mix_sources(count_tokens(docs, "text"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens")
+    sized = staged(count_tokens(docs, "text"), "tokens")  # the sort below reads its input twice
+    return mix_sources(sized, table(spark, d, "mix_targets"), "doc_id", "source", "tokens")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +130,12 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return formed.select("doc_id", "text_form", (~F.col("text").eqNullSafe(F.col("text_form"))).alias("changed"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, class_id, n_rows, n_links): documents that have a look-alike, with their class and the number of these."""
+    classes = lookalike_classes(table(spark, d, "documents"), "doc_id", "text").where("n_links > 0")
+    return classes.select(F.col("id").alias("doc_id"), "class_id", "n_rows", "n_links")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
@@ -146,6 +153,7 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
+    "p8_classes": p8_classes,
     "p8_forms": p8_forms,
 }
 

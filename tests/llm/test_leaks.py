@@ -58,3 +58,14 @@ def test_many_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(f"i{k}x{j}" for j in range(16))) for k in range(9)], "doc_id long, text string")
     monkeypatch.setattr("graphloom.llm.leaks.BLOCK_CHARS", 200)
     assert sorted((r[0], r[1]) for r in tile_leaks(docs, items).collect()) == [(k, k) for k in range(9)]
+
+
+def test_repeated_windows_are_worked_off_in_runs(monkeypatch):
+    from graphloom.llm import leaks
+
+    items = [(i, "one two three four five six " * 4 + f"item{i}") for i in range(7)]
+    text = "one two three four five six " * 9
+    whole = leaks.ItemIndex(items, 5)
+    want = sorted(whole.tile(whole.encode(text)))
+    monkeypatch.setattr(leaks, "HITS", 10)
+    assert len(list(whole.hits(whole.encode(text)))) == 7 and sorted(whole.tile(whole.encode(text))) == want and len(want) == 7

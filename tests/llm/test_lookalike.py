@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from graphloom.llm import lookalike as L
 from graphloom.llm.lookalike import LOOKALIKES, Speller, fit_scripts, lookalike_pairs, normalise, skeleton
 
 SAME = [
@@ -71,3 +72,27 @@ def test_normalise_keeps_other_columns(spark):
     assert out == [(1, "ﬁn", [1], "fin"), (2, None, None, None)]
     with pytest.raises(ValueError):
         normalise(df, "t", "X")
+
+
+def test_the_score_decides_unsure_characters():
+    words = {"hello": 400, "client": 300, "password": 300, "plugin": 300, "field": 200, "coral": 200}
+    pair, one = {}, {}
+    for word, n in words.items():
+        for a, b in zip("^" + word, word + "$"):
+            pair[a + b] = pair.get(a + b, 0) + n
+            one[a] = one.get(a, 0) + n
+    scored, plain = L.Speller({"pair": pair, "one": one}), L.Speller({"pair": pair, "one": one}, scored=False)
+    for odd, even in (("he1lo", "hello"), ("c1ient", "client"), ("passw0rd", "password"), ("pIugin", "plugin"), ("the fie1d of c0ral", "the field of coral")):
+        assert scored.text(odd) == even == scored.text(even) and plain.text(odd) == odd
+    for kept in ("v10", "x1y", "91dc0cfb", "sha1", "getItem", "10", "", "1", "I", "a0"):
+        assert scored.text(kept) == kept
+
+
+def test_classes_say_in_one_row_what_pairs_say(spark):
+    texts = ["a cat", "a cat", "а cat", "a​ cat", "a dog", None, "", "A cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").selectExpr("*", "1 AS id", "2 AS class_id")
+    got = {r["id"]: (r["class_id"], r["n_rows"], r["n_links"]) for r in L.lookalike_classes(df, "i", "t").collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 6, 7] and len({got[i][0] for i in range(4)}) == 1
+    assert [got[i][1:] for i in range(5)] == [(4, 2), (4, 2), (4, 3), (4, 3), (None, 0)]
+    pairs = {tuple(r) for r in L.lookalike_pairs(df, "i", "t").collect()}
+    assert len(pairs) * 2 == sum(n for _, _, n in got.values()) and (0, 1) not in pairs
