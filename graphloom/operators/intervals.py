@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,42 +84,41 @@ def subtract_ranges(whole: DataFrame, minus: DataFrame, key: str) -> DataFrame:
     return merge_ranges(level.where("a > 0 and b <= 0 and next is not null").select(key, F.col("at").alias("start_line"), (F.col("next") - 1).alias("end_line")), key)
 
 
-_HUNK = re.compile(r"^@@\s+-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s+@@")
+# Read alike by Python and by the JVM: the two lines that open a file's part of a diff, and the new side of a hunk.
+_FILE_HEAD = r"(?m)^--- ([^\t\r\n]*)[^\n]*\n\+\+\+ ([^\t\r\n]*)[^\n]*$"
+_PART = r"(?m)^(?=diff --git )|^(?=--- [^\n]*\n\+\+\+ )"
+_NEW_SIDE = r"(?m)^@@ +-\d+(?:,\d+)? +\+(\d+)(?:,(\d+))? +@@"
 
 
 def parse_diff(text: str, path: str = "") -> list[tuple[str, int, int]]:
-    """(path, start, end) on the new side of each hunk; deletions only have no lines there and give none.
-
-    ``path`` names the file of hunks that no file line precedes.
-    """
-    out, current = [], path
-    for line in re.split(r"\r?\n", text):
-        if line.startswith(("+++ ", "--- ")):
-            name = line[4:].split("\t")[0].strip()
-            name = re.sub(r"^[ab]/", "", name)
-            if name != "/dev/null" and (line[0] == "+" or not current):
-                current = name
-        elif line.startswith("diff --git "):
-            current = path
-        elif (m := _HUNK.match(line)) and current:
-            start, n = int(m[3]), int(m[4]) if m[4] is not None else 1
-            if n > 0:
-                out.append((current, start, start + n - 1))
+    """(path, start, end) on the new side of each hunk of one text, as ``diff_ranges`` takes them from many."""
+    out = []
+    for part in re.split(_PART, text):
+        head = re.search(_FILE_HEAD, part)
+        sides = [re.sub(r"^[ab]/", "", x.strip()) for x in head.groups()] if head else []
+        name = next((x for x in reversed(sides) if x != "/dev/null"), path)
+        spans = [(int(a), int(n or 1)) for a, n in re.findall(_NEW_SIDE, part)]
+        out += [(name, a, a + n - 1) for a, n in spans if n and name]
     return out
 
 
 def diff_ranges(df: DataFrame, id_column: str, text: str, path: str | None = None) -> DataFrame:
-    """(id, path, start_line, end_line): merged changed ranges of unified diffs; null texts have none."""
-    rows = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"), (F.col(path) if path else F.lit("")).cast("string").alias("path")).where("text is not null")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(key, *hunk) for key, text, path in zip(*(c.to_pylist() for c in batch.columns)) for hunk in parse_diff(text, path or "")]
-            columns = list(zip(*out)) or [[]] * 4
-            kinds = (batch.schema.field(0).type, pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "path", "start_line", "end_line"])
-
-    kind = dict(rows.dtypes)["id"]
-    hunks = rows.mapInArrow(run, f"id {kind}, path string, start_line long, end_line long")
-    keyed = hunks.withColumn("key", F.struct("id", "path"))
-    return merge_ranges(keyed, "key").select("key.id", "key.path", "start_line", "end_line")
+    """(id, path, start_line, end_line): merged changed ranges of unified diffs; null texts have none.
+
+    A text is cut before each file's two head lines; the new sides of all hunks of a
+    part come out of one expression.  ``path`` names the file of hunks before any head;
+    deletions only have no lines on the new side.
+    """
+    given = (F.col(path) if path else F.lit("")).cast("string")
+    parts = df.where(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.coalesce(given, F.lit("")).alias("given"), F.explode(F.split(text, _PART)).alias("part"))
+
+    def side(group: int):
+        return F.regexp_replace(F.trim(F.regexp_extract("part", _FILE_HEAD, group)), "^[ab]/", "")
+
+    named = [F.when(~side(k).isin("", "/dev/null"), side(k)) for k in (2, 1)]
+    first, size = (F.regexp_extract_all("part", F.lit(_NEW_SIDE), F.lit(k)) for k in (1, 2))
+    spans = F.arrays_zip(first.alias("a"), size.alias("n"))
+    hunks = parts.select("id", F.coalesce(*named, "given").alias("path"), F.explode(spans).alias("h"))
+    lines = hunks.select("id", "path", F.col("h.a").cast("long").alias("start_line"), F.when(F.col("h.n") == "", 1).otherwise(F.col("h.n").cast("long")).alias("n"))
+    kept = lines.where("n > 0 and path <> ''").select(F.struct("id", "path").alias("key"), "start_line", (F.col("start_line") + F.col("n") - 1).alias("end_line"))
+    return merge_ranges(kept, "key").select("key.id", "key.path", "start_line", "end_line")

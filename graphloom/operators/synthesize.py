@@ -46,10 +46,48 @@ ROUTES = {
     "terraform": (("terraform",), r"(?m)^(?:resource|data)\s+\"(?P<route>\w+)\"\s+\"(?P<handler>\w+)\""),
 }
 _ROUTES = [(name, languages, re.compile(p)) for name, (languages, p) in ROUTES.items()]
-_OBSERVE = re.compile(r"\bthis\.(?P<key>\w+)\.(?:add|push|set)\(\s*(?P<handler>\w+)?")
-_NOTIFY = re.compile(r"\bfor\s*\([^)]*\bof\s+(?:Array\.from\(\s*)?this\.(?P<a>\w+)|\bthis\.(?P<b>\w+)\.forEach\(")
-_ON = re.compile(r"\.(?:on|once|addListener|addEventListener|subscribe)\(\s*['\"](?P<key>[^'\"]+)['\"]\s*,\s*(?:function\s+(?P<f>\w+)|(?:this\.)?(?P<handler>[A-Za-z_]\w*))")
-_EMIT = re.compile(r"\.(?:emit|fire|dispatchEvent|publish)\(\s*['\"](?P<key>[^'\"]+)['\"]")
+# Methods by which callbacks are put into a collection, run over, bound to an event's name and called by it.
+METHODS = {
+    "observe": ("add", "push", "set"), "notify": ("forEach",), "on": ("on", "once", "addListener", "addEventListener", "subscribe"),
+    "emit": ("emit", "fire", "dispatchEvent", "publish"),
+}
+_ROLE = {m: role for role, methods in METHODS.items() for m in methods}
+_WORD = re.compile(r"[A-Za-z_$][\w$]*|['\"`](?:[^'\"`\\\n]|\\.)*['\"`]|\S")
+
+
+def call_sites(text: str) -> Iterator[tuple[str, str, str | None, int]]:
+    """(role, key, handler, place) of calls whose method has a role, read from the tokens of a text.
+
+    A collection is a field of this; its handler is the first argument.  An event is
+    named by a string, its handler the next argument.  Loops over a field count as
+    running over it.
+    """
+    words = [(m[0], m.start()) for m in _WORD.finditer(text)]
+    token = [w for w, _ in words] + [""] * 8
+    for i, (word, place) in enumerate(words):
+        if word == "." and token[i + 2] == "(" and (role := _ROLE.get(token[i + 1])):
+            args = i + 3
+            field = token[i - 1] if i >= 3 and token[i - 3 : i - 1] == ["this", "."] else None
+            if role in ("observe", "notify"):
+                if field:
+                    yield role, field, token[args] if token[args].isidentifier() and role == "observe" else None, words[i - 3][1]
+            elif token[args][:1] in ("'", '"'):
+                handler = None
+                if role == "on":
+                    if token[args + 1] != ",":
+                        continue
+                    at = args + 2
+                    at += 2 if token[at : at + 2] == ["this", "."] else 1 if token[at] == "function" else 0
+                    handler = token[at]
+                    if not handler.isidentifier():
+                        continue
+                yield role, token[args][1:-1], handler, place
+        elif word == "of":
+            at = i + 1 + (4 if token[i + 1 : i + 5] == ["Array", ".", "from", "("] else 0)
+            if token[at : at + 2] == ["this", "."] and token[at + 2].isidentifier():
+                yield "notify", token[at + 2], None, place
+
+
 _C_SET = re.compile(r"\.(?P<a>\w+)\s*=\s*&?(?P<fa>[A-Za-z_]\w*)\s*[,}]|(?:->|\.)(?P<b>\w+)\s*=\s*&?(?P<fb>[A-Za-z_]\w*)\s*;")
 _C_CALL = re.compile(r"(?:->|\.)(?P<key>\w+)\s*\(|\(\s*\*\s*\w+(?:->|\.)(?P<key2>\w+)\s*\)\s*\(")
 
@@ -67,14 +105,8 @@ def sites_of(path: str, text: str, language: str) -> list[tuple]:
             for m in pattern.finditer(clean):
                 put(f"route:{name}", m["route"], m["handler"], m.start("handler") if m["handler"] else m.start())
     if language in ("javascript", "typescript", "jsx", "tsx", "arkts", "vue"):
-        for m in _OBSERVE.finditer(clean):
-            put("observe", m["key"], m["handler"], m.start())
-        for m in _NOTIFY.finditer(clean):
-            put("notify", m["a"] or m["b"], None, m.start())
-        for m in _ON.finditer(clean):
-            put("on", m["key"], m["f"] or m["handler"], m.start())
-        for m in _EMIT.finditer(clean):
-            put("emit", m["key"], None, m.start())
+        for role, key, handler, at in call_sites(clean):
+            put(role, key, handler, at)
     if language in ("c", "cpp", "objc"):
         for m in _C_SET.finditer(clean):
             put("pointer-set", m["a"] or m["b"], m["fa"] or m["fb"], m.start())

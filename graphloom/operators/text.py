@@ -93,45 +93,54 @@ def bounded_distance(a: str, b: str, most: int) -> int:
 # ---- scoring ------------------------------------------------------------------------------------------------------
 
 
+def first_of(rules: list[tuple[Column, Column | int]], otherwise: Column | int | None = 0) -> Column:
+    """The value of the first rule (condition, value) that holds."""
+    out = F.lit(otherwise) if not isinstance(otherwise, Column) else otherwise
+    for condition, value in reversed(rules):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
+def _texts(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def _parts(word: str) -> list[str]:
+    """A word's pieces at marks and case changes, lower-cased, of two letters or more."""
+    return [p.lower() for p in re.findall(r"(?:[A-Z]+|[^\W_A-Z])[^\W_A-Z]*", word) if len(p) >= 2]
+
+
 def name_match_bonus(name: Column, query: str) -> Column:
-    """80 exact, 60 one of several words, 10 to 40 prefix by its share of the name, 15 all words inside, 10 inside, else 0."""
-    low = F.lower(name)
-    parts = [t.lower() for t in re.split(r"[\s_.\-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", query)) if len(t) >= 2]
-    words = [t.lower() for t in query.split() if len(t) >= 2]
-    joined = re.sub(r"\s+", "", query).lower()
-    out = F.when(low == joined, 80)
-    if len(words) > 1:
-        out = out.when(low.isin(words), 60)
-    out = out.when(low.startswith(joined), F.floor(F.lit(10.5) + F.lit(30.0 * len(joined)) / F.length(low)).cast("int"))
-    if len(parts) > 1:
-        inside = low.contains(parts[0])
-        for p in parts[1:]:
-            inside = inside & low.contains(p)
-        out = out.when(inside, 15)
-    return out.when(low.contains(joined), 10).otherwise(0)
+    """What a name is worth for a query by the first rule of a table: equal, one of several words, beginning, all pieces inside, inside."""
+    low, whole = F.lower(name), "".join(query.split()).lower()
+    words = [w.lower() for w in query.split() if len(w) >= 2]
+    pieces = [p for w in re.split(r"[\s_.\-]+", query) for p in _parts(w)]
+    rules = [
+        (low == whole, 80),
+        (low.isin(words) if len(words) > 1 else F.lit(False), 60),
+        (low.startswith(whole), F.round(10 + F.lit(30.0 * len(whole)) / F.length(low)).cast("int")),
+        (F.forall(_texts(pieces), lambda p: F.contains(low, p)) if len(pieces) > 1 else F.lit(False), 15),
+        (low.contains(whole), 10),
+    ]
+    return first_of(rules)
+
+
+#: What a query's word is worth where a path holds a piece of it: the file counts by itself, of folder and whole path the better one.
+FILE_HIT, FOLDER_HIT, PATH_HIT, TEST_PENALTY = 10, 5, 3, -15
 
 
 def path_relevance(path: Column, query: str, project_words: frozenset[str] = frozenset()) -> Column:
-    """Per word +10 in the file name, +5 in a folder or else +3 in the path; -15 for tests unless the query asks for them."""
-    words = [w for w in query.split() if re.sub(r"[\W_]+", "", w).lower() not in project_words] or query.split()
+    """The sum over a table of rules, two per word of the query, and a penalty for tests that were not asked for."""
     low = F.lower(path)
-    file, folder = base_name(low), directory(low)
-    score = F.lit(0)
-    for word in words:
-        parts = sorted({p.lower() for p in re.split(r"[\W_]+|(?<=[a-z0-9])(?=[A-Z])", word) if len(p) >= 2} | ({word.lower()} if len(word) >= 2 else set()))
-        if not parts:
-            continue
 
-        def holds(c: Column, parts=parts) -> Column:
-            out = c.contains(parts[0])
-            for p in parts[1:]:
-                out = out | c.contains(p)
-            return out
+    def inside(place: Column, pieces: list[str]) -> Column:
+        return F.exists(_texts(pieces), lambda p: F.contains(place, p))
 
-        score = score + F.when(holds(file), 10).otherwise(0) + F.when(holds(folder), 5).when(holds(low), 3).otherwise(0)
-    if query and not re.search("test|spec", query.lower()):
-        score = score - F.when(is_test_file(path), 15).otherwise(0)
-    return score
+    asked = [w for w in query.split() if re.sub(r"[\W_]+", "", w).lower() not in project_words] or query.split()
+    table = [[(F.lit(bool(query) and not re.search("test|spec", query.lower())) & is_test_file(path), TEST_PENALTY)]]
+    for pieces in (sorted({*_parts(w), *([w.lower()] if len(w) >= 2 else [])}) for w in asked):
+        table += [[(inside(base_name(low), pieces), FILE_HIT)], [(inside(directory(low), pieces), FOLDER_HIT), (inside(low, pieces), PATH_HIT)]]
+    return sum((first_of(rules) for rules in table), F.lit(0))
 
 
 def rescored(hits: DataFrame, query: str, project_words: frozenset[str] = frozenset()) -> DataFrame:
@@ -338,15 +347,15 @@ def prose_words(text: Column, most: int | None = None) -> Column:
     return F.slice(out, 1, most) if most else out
 
 
+# Endings of plurals, with the numbers of letters that may be cut off.
+PLURALS = ((r"(x|sh|ss|zz)es$", (2,)), (r"(ch|s|z|o)es$", (2, 1)), (r"[^s]s$", (1,)))
+
+
 def word_variants(word: Column) -> Column:
-    """The word and its possible singulars."""
-    n, none = F.length(word), F.lit(None).cast("string")
-    one = F.when(n >= 5, word.substr(F.lit(1), n - 1))
-    two = F.when(n >= 6, word.substr(F.lit(1), n - 2))
-    hissing, other = word.rlike("(x|sh|ss|zz)es$"), word.rlike("(ch|s|z|o)es$")
-    plain = word.endswith("s") & ~word.endswith("ss")
-    extra = F.when(hissing, F.array(two, none)).when(other, F.array(two, one)).when(plain, F.array(one, none)).otherwise(F.array(none, none))
-    return F.array_compact(F.concat(F.array(word), extra))
+    """The word and its possible singulars, of four letters or more, by the first ending that fits."""
+    cuts = first_of([(word.rlike(ending), F.array(*map(F.lit, n))) for ending, n in PLURALS], F.array().cast("array<int>"))
+    shorter = F.transform(cuts, lambda n: F.when(F.length(word) - n >= 4, F.substring(word, F.lit(1), F.length(word) - n)))
+    return F.array_compact(F.concat(F.array(word), shorter))
 
 
 def segment_matches(vocabulary: DataFrame, asked: DataFrame, least: int = 2) -> DataFrame:
