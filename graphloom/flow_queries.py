@@ -211,7 +211,7 @@ def ambiguous_names(spark, d):
 # ---- commits ------------------------------------------------------------------------------------------------------
 
 _MENTION = "`([A-Za-z_][A-Za-z0-9_]*)`"
-_FILE = r"[a-z]+/[a-z]+\.[a-z]+"
+_FILE = r"[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)*/[A-Za-z0-9_-]+\.[A-Za-z][A-Za-z0-9]*"
 
 
 def commits(spark, d):
@@ -256,7 +256,7 @@ def tf_idf(spark, d):
 
 @query(
     f"""WITH {_COMMITS}, {_TFIDF}, nr AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM ti GROUP BY id),
-    k AS (SELECT id, 's:' || unnest(symbols) AS key FROM co UNION SELECT id, 't:' || unnest(tickets) FROM co), p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.key = b.key AND a.id < b.id),
+    p AS (SELECT a.id AS a, b.id AS b FROM co a JOIN co b ON a.id < b.id),
     dt AS (SELECT p.a, p.b, sum(x.weight * y.weight) AS dot FROM p JOIN ti x ON x.id = p.a JOIN ti y ON y.id = p.b AND x.term = y.term GROUP BY p.a, p.b),
     cs AS (SELECT p.a, p.b, coalesce(dot / (na.norm * nb.norm), 0) AS cosine FROM p LEFT JOIN dt USING (a, b) LEFT JOIN nr na ON na.id = p.a LEFT JOIN nr nb ON nb.id = p.b),
     ft AS (SELECT *, len(symbols) / greatest(len(files), 1) AS coh, list_distinct(list_transform(files, lambda f: array_to_string(string_split(f, '/')[1:2], '/'))) AS dirs FROM co),
@@ -266,11 +266,11 @@ def tf_idf(spark, d):
                         CASE WHEN len(list_distinct(list_concat(x.dirs, y.dirs))) > 0 THEN len(list_intersect(x.dirs, y.dirs)) / len(list_distinct(list_concat(x.dirs, y.dirs))) ELSE 0 END)
       + 0.25 * cosine + 0.10 * CASE WHEN len(list_distinct(list_concat(x.tickets, y.tickets))) > 0 THEN len(list_intersect(x.tickets, y.tickets)) / len(list_distinct(list_concat(x.tickets, y.tickets))) ELSE 0 END
       + 0.10 * exp(-abs(x.ts_ms - y.ts_ms) / 259200000.0)) AS score FROM cs JOIN ft x ON x.id = cs.a JOIN ft y ON y.id = cs.b)
-    SELECT a, b, round(score, 6) AS score FROM j WHERE score >= 0.5"""
+    SELECT a, b, round(score, 6) AS score FROM j WHERE score >= 0.25"""
 )
 def commit_similarity(spark, d):
-    """Pairs of like commits, from 0.5 on as its SQL states; the clusters take them from 0.25 on."""
-    return M.commit_pairs(commits(spark, d), 0.5).select("a", "b", F.round("score", 6).alias("score"))
+    """Pairs of like commits."""
+    return M.commit_pairs(commits(spark, d)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -376,10 +376,15 @@ def spec_context(spark, d):
     return spec_graph(spark, d).context()
 
 
-@query(_SPECS + " SELECT DISTINCT spec_id FROM ch WHERE f_path IN (SELECT path FROM f WHERE generated) OR EXISTS (SELECT 1 FROM f WHERE generated AND (contains(f_path, path) OR contains(path, f_path)))")
+@query(
+    _SPECS
+    + """, cp AS (SELECT DISTINCT regexp_extract(path, '^[^/]+/[^/]+/[^/]+') AS p FROM f WHERE errors IS NOT NULL)
+    SELECT DISTINCT spec_id FROM ch JOIN cp ON p <> '' AND f_path <> '' AND (contains(f_path, p) OR contains(p, f_path))"""
+)
 def affected_specs(spark, d):
-    """Active specs that touch a file flagged as generated."""
-    return spec_graph(spark, d).affected_by(C.files(spark, d).where("generated").select("path"))
+    """Active specs with a fragment in a module of which a file was looked at for errors."""
+    module = F.regexp_extract("path", r"^[^/]+/[^/]+/[^/]+", 0)
+    return spec_graph(spark, d).affected_by(C.files(spark, d).where("errors is not null").select(module.alias("path")))
 
 
 @query(

@@ -160,7 +160,7 @@ def dead_code(spark, d):
 @query(
     C.WITH
     + """, p AS (SELECT target AS child, min_by(source, id) AS parent FROM e WHERE kind = 'contains' GROUP BY target),
-    a(root, id, depth) AS (SELECT id, id, 0 FROM n UNION SELECT root, parent, depth + 1 FROM a JOIN p ON a.id = p.child WHERE depth < 32),
+    a(root, id, depth) AS (SELECT id, id, 0 FROM n UNION SELECT root, parent, depth + 1 FROM a JOIN p ON a.id = p.child WHERE depth < 1000),
     dd AS (SELECT root, max(depth) AS depth FROM (SELECT root, id, min(depth) AS depth FROM a GROUP BY root, id) GROUP BY root),
     i AS (SELECT target AS id, count(*) AS incoming, count(*) FILTER (WHERE kind = 'calls') AS callers FROM e GROUP BY target),
     o AS (SELECT source AS id, count(*) AS outgoing, count(*) FILTER (WHERE kind = 'calls') AS calls, count(*) FILTER (WHERE kind = 'contains') AS children FROM e GROUP BY source)
@@ -246,15 +246,15 @@ def callees_2hop(spark, d):
 
 @query(
     _reach_sql(
-        "SELECT target AS src, source AS dst FROM capped", "SELECT id FROM n WHERE kind = 'enum'", 1,
+        "SELECT target AS src, source AS dst FROM capped", "SELECT id FROM n WHERE kind = 'enum'", 2,
         """, r2(root, id, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'enum' UNION SELECT r2.root, e.target, r2.depth + 1 FROM r2 JOIN e ON r2.id = e.source
-           WHERE r2.depth < 1 AND e.kind IN ('calls', 'references', 'imports', 'instantiates'))
+           WHERE r2.depth < 2 AND e.kind IN ('calls', 'references', 'imports', 'instantiates'))
            SELECT id AS root, id, 'focal' AS role FROM n WHERE kind = 'enum' UNION ALL SELECT root, id, 'caller' FROM r GROUP BY root, id HAVING min(depth) > 0
            UNION ALL SELECT root, id, 'callee' FROM r2 GROUP BY root, id HAVING min(depth) > 0""", _CAPPED,
     )
 )
 def call_graph(spark, d):
-    return G.call_graph(C.edges(spark, d, "id", "source", "target", "kind"), kind_ids(spark, d, "enum"), 1)
+    return G.call_graph(C.edges(spark, d, "id", "source", "target", "kind"), kind_ids(spark, d, "enum"))
 
 
 @query(_reach_sql("SELECT source AS src, target AS dst FROM e UNION ALL SELECT target, source FROM e", "SELECT min(id) AS id FROM n WHERE kind = 'route'", 3, "SELECT id, min(depth) AS depth FROM r GROUP BY id"))
@@ -269,7 +269,7 @@ _IMPACT = (
     C.WITH
     + f""", {_IMPACT_MEMBERS},
     x AS (SELECT src, dst, 0 AS cost FROM m UNION SELECT target, source, 1 FROM e WHERE kind <> 'contains'),
-    r(root, id, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'type_alias' UNION SELECT r.root, x.dst, r.depth + x.cost FROM r JOIN x ON r.id = x.src WHERE r.depth < 2)
+    r(root, id, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'type_alias' UNION SELECT r.root, x.dst, r.depth + x.cost FROM r JOIN x ON r.id = x.src WHERE r.depth < 3)
     SELECT root, id, min(depth) AS depth FROM r GROUP BY root, id"""
 )
 
@@ -277,20 +277,21 @@ _IMPACT = (
 @query(_IMPACT)
 def impact_radius(spark, d):
     nodes, edges = C.nodes(spark, d, "id", "kind"), C.edges(spark, d, "source", "target", "kind")
-    return G.impact(edges, nodes, kind_ids(spark, d, "type_alias"), 2)
+    return G.impact(edges, nodes, kind_ids(spark, d, "type_alias"))
 
 
 @query(
     C.WITH
-    + """, pairs AS (SELECT a.id AS s, b.id AS t FROM (SELECT id FROM n WHERE kind = 'file' ORDER BY id LIMIT 20) a, (SELECT id FROM n WHERE kind = 'interface' ORDER BY id LIMIT 40) b),
-    r(root, id, depth) AS (SELECT DISTINCT s, s, 0 FROM pairs UNION SELECT r.root, e.target, r.depth + 1 FROM r JOIN e ON r.id = e.source WHERE r.depth < 6)
-    SELECT s AS source, t AS target, min(depth) AS hops FROM pairs JOIN r ON pairs.s = r.root AND pairs.t = r.id GROUP BY s, t"""
+    + """, l AS (SELECT DISTINCT source AS src, target AS dst FROM e),
+    r(root, id, depth) USING KEY (root, id) AS (SELECT id, id, 0 FROM n WHERE kind IN ('component', 'route') AND start_line % 5 = 0
+      UNION SELECT DISTINCT r.root, l.dst, r.depth + 1 FROM r JOIN l ON r.id = l.src LEFT JOIN recurring.r AS known ON known.root = r.root AND known.id = l.dst WHERE known.id IS NULL)
+    SELECT root AS source, r.id AS target, depth AS hops FROM r JOIN n ON r.id = n.id AND n.kind = 'interface'"""
 )
 def shortest_path(spark, d):
-    """Hops from the first files to the first interfaces, where connected."""
-    starts = kind_ids(spark, d, "file").orderBy("id").limit(20).select(F.col("id").alias("source"))
-    ends = kind_ids(spark, d, "interface").orderBy("id").limit(40).select(F.col("id").alias("target"))
-    paths = G.shortest_paths(C.edges(spark, d, "source", "target", "kind"), starts.crossJoin(F.broadcast(ends)), max_depth=6)
+    """Hops from the components and routes on every fifth line to all interfaces, however far."""
+    nodes = C.nodes(spark, d, "id", "kind", "start_line")
+    starts = nodes.where("kind in ('component', 'route') and start_line % 5 = 0").select("id")
+    paths = G.shortest_paths(C.edges(spark, d, "source", "target", "kind"), sources=starts, targets=nodes.where("kind = 'interface'").select("id"))
     return paths.select("source", "target", "hops")
 
 
@@ -308,7 +309,7 @@ def type_hierarchy(spark, d):
 @query(
     C.WITH
     + """, p AS (SELECT target AS child, min_by(source, id) AS parent FROM e WHERE kind = 'contains' GROUP BY target),
-    a(root, id, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'field' UNION SELECT root, parent, depth + 1 FROM a JOIN p ON a.id = p.child WHERE depth < 32)
+    a(root, id, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'field' UNION SELECT root, parent, depth + 1 FROM a JOIN p ON a.id = p.child WHERE depth < 1000)
     SELECT root, id, min(depth) AS depth FROM a GROUP BY root, id HAVING min(depth) > 0"""
 )
 def ancestors(spark, d):
@@ -322,14 +323,14 @@ _TEST = r"(^|/)(test_|[Tt]est\.)[^/]*$|[._-]([Tt]ests?|[Ss]pecs?)\.[A-Za-z0-9]+$
 @query(
     C.WITH
     + f""", {_DEPENDS}, c AS (SELECT path FROM f WHERE language = 'vue'),
-    r(id, depth) AS (SELECT path, 0 FROM c UNION SELECT dep.a, r.depth + 1 FROM r JOIN dep ON dep.b = r.id WHERE r.depth < 3 AND NOT regexp_matches(r.id, '{_TEST}'))
+    r(id, depth) AS (SELECT path, 0 FROM c UNION SELECT dep.a, r.depth + 1 FROM r JOIN dep ON dep.b = r.id WHERE r.depth < 5 AND NOT regexp_matches(r.id, '{_TEST}'))
     SELECT id AS file_path, min(depth) AS depth FROM r WHERE regexp_matches(id, '{_TEST}') GROUP BY id"""
 )
 def affected_tests(spark, d):
-    """Tests that depend on any Vue file within three steps."""
+    """Tests that depend on any Vue file within five steps."""
     links = G.file_dependencies(C.nodes(spark, d, "id", "file_path"), C.edges(spark, d, "source", "target", "kind"))
     changed = C.files(spark, d).where("language = 'vue'").select(F.col("path").alias("file_path"))
-    return G.affected_tests(links, changed, 3)
+    return G.affected_tests(links, changed)
 
 
 @query()
@@ -340,20 +341,21 @@ def file_cycles(spark, d):
     return G.cycles(links.select(F.col("file_path").alias("src"), F.col("depends_on").alias("dst"))).withColumnRenamed("id", "file_path")
 
 
-def _walk_sql(rounds: int) -> str:
+def _walk_sql(rounds: int, contains: bool = False) -> str:
+    kinds = "" if contains else " AND kind <> 'contains'"
     steps = ["m0 AS (SELECT id, r AS m FROM s)"]
     for k in range(rounds):
         steps.append(
-            f"""m{k + 1} AS (SELECT id, sum(m) AS m FROM (SELECT l.dst AS id, m.m * l.p * 0.75 AS m FROM m{k} m JOIN l ON m.id = l.src
+            f"""m{k + 1} AS MATERIALIZED (SELECT id, sum(m) AS m FROM (SELECT l.dst AS id, m.m * l.p * 0.75 AS m FROM m{k} m JOIN l ON m.id = l.src
             UNION ALL SELECT id, m * 0.75 FROM m{k} WHERE id NOT IN (SELECT src FROM l) UNION ALL SELECT id, r * 0.25 FROM s) GROUP BY id)"""
         )
     return (
         C.WITH
-        + f""", b AS (SELECT source AS src, target AS dst FROM e WHERE source <> target AND kind <> 'contains' UNION ALL SELECT target, source FROM e WHERE source <> target AND kind <> 'contains'),
+        + f""", b AS (SELECT source AS src, target AS dst FROM e WHERE source <> target{kinds} UNION ALL SELECT target, source FROM e WHERE source <> target{kinds}),
         w AS (SELECT src, dst, count(*) AS w FROM b GROUP BY src, dst), g AS (SELECT src, sum(w) AS deg FROM w GROUP BY src),
         l AS MATERIALIZED (SELECT w.src, w.dst, w.w / g.deg AS p FROM w JOIN g USING (src)),
         s AS MATERIALIZED (SELECT id, 1.0::DOUBLE / count(*) OVER () AS r FROM n WHERE kind = 'route'), {", ".join(steps)}
-        SELECT id, round(m, 9) AS score FROM m{rounds} WHERE m >= 0.0005"""
+        SELECT id, round(m, 9) AS score FROM m{rounds}"""
     )
 
 
@@ -362,10 +364,10 @@ def random_walk_5(spark, d):
     """Mass near the routes after five rounds of a walk with restart."""
     edges = C.edges(spark, d, "source", "target", "kind").where("kind <> 'contains'")
     scores = G.random_walk(edges, kind_ids(spark, d, "route"), None, 0.25, 5)
-    return scores.where("score >= 0.0005").select("id", F.round("score", 9).alias("score"))
+    return scores.select("id", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(_walk_sql(25, True))
 def random_walk_25(spark, d):
     """The full walk of 25 rounds from the routes over all kinds of use."""
     edges = C.edges(spark, d, "source", "target", "kind")
@@ -374,9 +376,9 @@ def random_walk_25(spark, d):
 
 @query()
 def call_chains(spark, d):
-    """Longest paths of use among types."""
+    """Longest paths of use, of six hops at most, among types."""
     roots = C.nodes(spark, d, "id", "kind").where("kind in ('class', 'interface', 'enum', 'type_alias', 'component')").select("id")
-    paths = G.chains(C.edges(spark, d, "source", "target", "kind"), roots, hops=3, least=3, kinds=G.USES)
+    paths = G.chains(C.edges(spark, d, "source", "target", "kind"), roots, kinds=G.USES)
     return paths.select(F.concat_ws(" > ", "path").alias("path"), F.size("path").alias("n_nodes"))
 
 

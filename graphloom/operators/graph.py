@@ -143,26 +143,32 @@ def impact(edges: DataFrame, nodes: DataFrame, ids: DataFrame, depth: int = 3) -
     return seen
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, kinds: tuple[str, ...] | None = None, max_depth: int = 16) -> DataFrame:
-    """(source, target, path, hops) of one shortest path per (source, target) pair that is connected.
+def shortest_paths(edges: DataFrame, pairs: DataFrame | None = None, kinds: tuple[str, ...] | None = None, max_depth: int | None = None, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(source, target, path, hops) of one shortest path per connected (source, target): of ``pairs``, or from each of ``sources`` (id) to each of ``targets`` (id).
 
-    Of equally short paths the least array of ids is given.
+    Of equally short paths the least array of ids is given.  The search ends by
+    itself where nothing new is reached, unless ``max_depth`` ends it earlier.
     """
     links = staged(adjacency(of_kinds(edges, kinds)).distinct(), "links")
-    wanted = staged(pairs.select(F.col("source").alias("p_source"), F.col("target").alias("p_target")).distinct(), "pairs")
-    level = staged(wanted.select(F.col("p_source").alias("root"), F.col("p_source").alias("id")).distinct().withColumn("path", F.array("id")), "level")
-    seen = level.select("root", "id")
-    hit = (F.col("root") == F.col("p_source")) & (F.col("id") == F.col("p_target"))
-    found = [level.join(wanted, hit).select("p_source", "p_target", "path")]
-    for _ in range(max_depth):
+    if pairs is None:
+        starts, ends = sources.select(F.col("id").alias("root")), staged(targets.select(F.col("id").alias("p_target")).distinct(), "targets")
+        hit = F.col("id") == F.col("p_target")
+    else:
+        ends = staged(pairs.select(F.col("source").alias("p_source"), F.col("target").alias("p_target")).distinct(), "pairs")
+        starts, hit = ends.select(F.col("p_source").alias("root")), (F.col("root") == F.col("p_source")) & (F.col("id") == F.col("p_target"))
+    level = staged(starts.distinct().select("root", F.col("root").alias("id"), F.array("root").alias("path")), "level")
+    seen, found, depth = level.select("root", "id"), [], 0
+    while True:
+        found.append(level.join(ends, hit, "left_semi").select(F.col("root").alias("source"), F.col("id").alias("target"), "path"))
+        if depth == max_depth:
+            break
+        depth += 1
         step = level.join(links, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         level = staged(step.groupBy("root", "id").agg(F.min("path").alias("path")).join(seen, ["root", "id"], "left_anti"), "level")
         if level.isEmpty():
             break
         seen = seen.unionByName(level.select("root", "id"))
-        found.append(level.join(wanted, hit).select("p_source", "p_target", "path"))
-    out = reduce(DataFrame.unionByName, found)
-    return out.select(F.col("p_source").alias("source"), F.col("p_target").alias("target"), "path", (F.size("path") - 1).alias("hops"))
+    return reduce(DataFrame.unionByName, found).withColumn("hops", F.size("path") - 1)
 
 
 def first_parents(edges: DataFrame) -> DataFrame:
@@ -170,7 +176,7 @@ def first_parents(edges: DataFrame) -> DataFrame:
     return edges.where("kind = 'contains'").groupBy(F.col("target").alias("child")).agg(F.min_by("source", "id").alias("parent"))
 
 
-def ancestors(edges: DataFrame, ids: DataFrame, most: int = 32) -> DataFrame:
+def ancestors(edges: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
     """(root, id, depth): the chain of containing nodes, nearest first; cycles end it."""
     return reach(first_parents(edges).select(F.col("child").alias("src"), F.col("parent").alias("dst")), roots_of(ids), most).where("depth > 0")
 
@@ -280,9 +286,17 @@ def random_walk(edges: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] | Non
     both = adjacency(of_kinds(edges, kinds).where("source <> target"), "both")
     weights = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     degree = weights.groupBy("src").agg(F.sum("w").alias("deg"))
+    parts = shuffle_partitions(edges.sparkSession)
+    # The links of a source that has more than its part of all are spread over as many keys as there are tasks; such sources are fewer than four a task.
     links = staged(weights.join(degree, "src").select("src", "dst", (F.col("w") / F.col("deg")).alias("p")), "walk")
-    # Laid out by source once: a round then moves the masses only.  Lost blocks are read again from the staged table.
-    links = links.repartition(shuffle_partitions(edges.sparkSession), "src").persist()
+    fan = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    whole = links.count()
+    heavy = [r[0] for r in fan.where(F.col("n") > max(1000, whole / (4 * parts))).select("src").collect()]
+    is_heavy = F.col("src").isin(heavy) if heavy else F.lit(False)
+    links = links.withColumn("salt", F.when(is_heavy, F.pmod(F.xxhash64("dst"), F.lit(parts))).otherwise(0).cast("int"))
+    # Laid out once: a round then moves the masses only.  Lost blocks are read again from the staged table.
+    links = links.repartition(parts, "src", "salt").persist()
+    salts = F.when(F.col("id").isin(heavy), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))) if heavy else F.array(F.lit(0))
     start = seeds.select("id").distinct()
     n = start.count()
     begin = staged(start.withColumn("r", F.lit(1.0 / max(1, n))), "seeds")
@@ -293,7 +307,8 @@ def random_walk(edges: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] | Non
     back = begin.select("id", (F.col("r") * restart).alias("m"))
     mass = begin.select("id", F.col("r").alias("m"))
     for k in range(rounds):
-        moved = mass.hint("shuffle_hash").join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("m") * F.col("p") * (1 - restart)).alias("m"))
+        spread = mass.select("id", "m", F.explode(salts).alias("m_salt"))
+        moved = spread.hint("shuffle_hash").join(links, (F.col("id") == F.col("src")) & (F.col("m_salt") == F.col("salt"))).select(F.col("dst").alias("id"), (F.col("m") * F.col("p") * (1 - restart)).alias("m"))
         mass = moved.unionByName(back).groupBy("id").agg(F.sum("m").alias("m"))
         if k % 5 == 4 and k + 1 < rounds:
             mass = staged(mass, "mass")
@@ -305,14 +320,18 @@ def random_walk(edges: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] | Non
 def chains(edges: DataFrame, roots: DataFrame, hops: int = 6, least: int = 3, kinds: tuple[str, ...] = ("calls",)) -> DataFrame:
     """(path): longest call paths that start and end in ``roots`` (id), without repeats, of ``least`` nodes or more.
 
-    Paths over which another one runs are left out.
+    Paths over which another one runs are left out.  A path goes on only to where an
+    end is still in reach with the hops that are left.
     """
     links = staged(adjacency(of_kinds(edges, kinds)).where("src <> dst").distinct(), "links")
     ends = staged(roots.select(F.col("id").alias("end_id")).distinct(), "ends")
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    away = staged(reach(back, ends.select(F.lit("end").alias("root"), F.col("end_id").alias("id")), hops - 1).select(F.col("id").alias("near"), "depth"), "away")
     level = ends.select(F.array("end_id").alias("path"), F.col("end_id").alias("last"))
     found = []
-    for _ in range(hops):
-        level = staged(level.join(links, F.col("last") == F.col("src")).where(~F.expr("array_contains(path, dst)")).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last")), "paths")
+    for left in reversed(range(hops)):
+        reachable = links.join(away.where(F.col("depth") <= left), F.col("dst") == F.col("near"), "left_semi")
+        level = staged(level.join(reachable, F.col("last") == F.col("src")).where(~F.expr("array_contains(path, dst)")).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last")), "paths")
         found.append(level.join(ends, F.col("last") == F.col("end_id"), "left_semi").where(F.size("path") >= least).select("path"))
     whole = staged(reduce(DataFrame.unionByName, found), "paths")
     longer = whole.select(F.explode(F.sequence(F.lit(1), F.size("path"))).alias("lo"), "path").select("path", "lo", F.explode(F.sequence(F.lit(least), F.size("path") - 1)).alias("n"))

@@ -87,7 +87,7 @@ def subtract_ranges(whole: DataFrame, minus: DataFrame, key: str) -> DataFrame:
 # Read alike by Python and by the JVM: the two lines that open a file's part of a diff, and the new side of a hunk.
 _FILE_HEAD = r"(?m)^--- ([^\t\r\n]*)[^\n]*\n\+\+\+ ([^\t\r\n]*)[^\n]*$"
 _PART = r"(?m)^(?=diff --git )|^(?=--- [^\n]*\n\+\+\+ )"
-_NEW_SIDE = r"(?m)^@@ +-\d+(?:,\d+)? +\+(\d+)(?:,(\d+))? +@@"
+_NEW_SIDE = r"(?m)^@@[\s\u00a0]+-\d+(?:,\d+)?[\s\u00a0]+\+(\d+)(?:,(\d+))?[\s\u00a0]+@@"
 
 
 def parse_diff(text: str, path: str = "") -> list[tuple[str, int, int]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Weights of the five factors of a trace.
@@ -75,15 +75,26 @@ class SpecGraph:
         return c.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_spec).select("spec_id", "commit_hash", "relation_type", "rank")
 
     def affected_by(self, paths: DataFrame) -> DataFrame:
-        """(spec_id): active specs with a fragment whose path equals a changed path or ends with it after a slash, or the other way round.
+        """(spec_id): active specs with a fragment whose path lies in a changed path, or the other way round: one holds the other.
 
-        Joined on the file's own name, not pair by pair.
+        A changed folder, or any run of a path's characters, counts.  The shorter of two
+        paths that hold each other is a run of its own length in the longer one, so
+        both sides meet by equal runs of the lengths that the other side has; lengths
+        are few, and every path is laid out once per length.
         """
-        base: Column = F.substring_index(F.col("c_path"), "/", -1)
-        changed = paths.select(F.col("path").alias("c_path")).distinct().withColumn("c_base", base)
-        mine = self.chain().select("spec_id", "f_path").distinct().withColumn("f_base", F.substring_index("f_path", "/", -1))
-        met = mine.join(changed, F.col("f_base") == F.col("c_base"))
-        return met.where(F.col("f_path").contains(F.col("c_path")) | F.col("c_path").contains(F.col("f_path"))).select("spec_id").distinct()
+        changed = paths.select(F.col("path").alias("c_path")).where("c_path is not null and c_path <> ''").distinct()
+        mine = self.chain().select("spec_id", F.col("f_path")).where("f_path is not null and f_path <> ''").distinct()
+        own = mine.select("f_path").distinct()
+
+        def runs(df: DataFrame, path: str, other: DataFrame, short: str) -> DataFrame:
+            """(path, short): the paths of ``other`` that a path holds."""
+            lengths = other.select(F.length(short).alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))  # at most one row per length of a path
+            laid = df.crossJoin(F.broadcast(lengths)).select(path, F.explode("lengths").alias("n")).where(F.col("n") <= F.length(path))
+            at = laid.select(path, "n", F.explode(F.sequence(F.lit(1), F.length(path) - F.col("n") + 1)).alias("i"))
+            return at.select(path, F.substring(F.col(path), F.col("i"), F.col("n")).alias(short)).distinct().join(other, short)
+
+        met = runs(own, "f_path", changed, "c_path").select("f_path").unionByName(runs(changed, "c_path", own, "f_path").select("f_path")).distinct()
+        return mine.join(met, "f_path", "left_semi").select("spec_id").distinct()
 
     def new_version(self, ids: DataFrame) -> SpecGraph:
         """The given specs (id) one version on, under id@version, the old ones deprecated and linked by EVOLVED_FROM; relations move along."""

@@ -16,7 +16,7 @@ from graphloom.operators.resolve import clean_refs
 from graphloom.operators.synthesize import request_type_routes, sites
 from graphloom.operators import text as X
 from graphloom.plans import context as P
-from graphloom.plans.surveys import conventional_handlers, domain_files, line_scan
+from graphloom.plans.surveys import caller_inventory, conventional_handlers, declaration_sites, domain_files
 from graphloom.runtime import shared_dir
 from graphloom.sources.extract import extract
 from graphloom.sources.files import generated_header, headings
@@ -86,22 +86,22 @@ def document_headings(spark, d):
 
 @query()
 def dispatch_scan(spark, d):
-    """Calls that are bound at run time, in the source texts among the documents."""
+    """Calls that are bound at run time, in the source texts among the documents, comments read by each text's language."""
 
     def scan(batches):
         for pdf in batches:
-            rows = [(i, form, line, text) for i, t in zip(pdf["doc_id"], pdf["text"]) for form, line, text in dispatch_sites(t, "typescript")]
-            yield pd.DataFrame(rows, columns=["doc_id", "form", "line", "matched"])
+            rows = [(p, form, line, text) for p, t, g in zip(pdf["path"], pdf["text"], pdf["language"]) for form, line, text in dispatch_sites(t, g)]
+            yield pd.DataFrame(rows, columns=["path", "form", "line", "matched"])
 
-    docs = table(spark, d, "documents").where("source = 'snippets' and text is not null").select("doc_id", "text")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("form", T.StringType()), T.StructField("line", T.LongType()), T.StructField("matched", T.StringType())])
-    return docs.mapInPandas(scan, schema)
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("form", T.StringType()), T.StructField("line", T.LongType()), T.StructField("matched", T.StringType())])
+    return _snippets(spark, d).mapInPandas(scan, schema)
 
 
-@query(r"SELECT doc_id, false AS generated FROM documents WHERE source = 'snippets' AND text IS NOT NULL AND NOT regexp_matches(text, '(?i)generated|do not')")
+@query(r"""SELECT doc_id, len(list_filter(string_split(left(text, 8192), chr(10))[1:60], lambda x: regexp_matches(x, '(?i)^[ \t\n\f\r\v]*(//|#|/?\*|--|;|<!--).*(code generated .* do not edit|@generated|auto-?generated|do not (edit|modify) (this file|by hand)|generated by)'))) > 0 AS generated
+    FROM documents WHERE text IS NOT NULL""")
 def header_scan(spark, d):
-    """Whether a source text's first comments say that a tool wrote it."""
-    docs = table(spark, d, "documents").where("source = 'snippets' and text is not null")
+    """Whether a text's first comments say that a tool wrote it."""
+    docs = table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", generated_header(F.col("text")).alias("generated"))
 
 
@@ -140,10 +140,10 @@ def _snippets(spark, d):
 
 
 @query(r"""SELECT 'snippets/' || doc_id AS path, line, text FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS text, unnest(range(1, len(regexp_split_to_array(text, '\r?\n')) + 1)) AS line
-    FROM documents WHERE source = 'snippets' AND text IS NOT NULL) WHERE regexp_matches(text, '\b(?:const|let|var|def|func|fn|function|class)\s+resolve\w*\b')""")
+    FROM documents WHERE source = 'snippets' AND text IS NOT NULL) WHERE regexp_matches(text, '\b(?:class|interface|struct|enum|type|trait|const|let|var|def|func|fn|function|typedef|namespace)\s+stopProxy\b|\bid:\s*[''"]?stopProxy\b')""")
 def survey_declarations(spark, d):
-    """Lines of source texts that declare something named resolve..."""
-    return line_scan(_snippets(spark, d), r"\b(?:const|let|var|def|func|fn|function|class)\s+resolve\w*\b")
+    """Lines of source texts that declare one name."""
+    return declaration_sites(_snippets(spark, d), "stopProxy")
 
 
 @query(
@@ -177,13 +177,7 @@ def survey_handlers(spark, d):
 def survey_callers(spark, d):
     """Who calls the members of classes from other files."""
     nodes, edges = C.nodes(spark, d, "id", "kind", "name", "file_path"), C.edges(spark, d, "source", "target", "kind")
-    classes = nodes.where("kind = 'class'").select(F.col("name").alias("type")).distinct()
-    owner = nodes.join(classes, F.col("name") == F.col("type")).select(F.col("id").alias("o_id"), "type", F.col("file_path").alias("o_path"))
-    held = edges.where("kind = 'contains'").select(F.col("source").alias("c_s"), F.col("target").alias("c_t")).distinct()
-    methods = owner.join(held, F.col("o_id") == F.col("c_s")).join(nodes.select(F.col("id").alias("m_id"), F.col("name").alias("method")), F.col("c_t") == F.col("m_id"))
-    callers = nodes.select(F.col("id").alias("k_id"), F.col("name").alias("caller"), F.col("file_path").alias("caller_file"))
-    out = edges.where("kind = 'calls'").select("source", "target").join(methods, F.col("target") == F.col("m_id")).join(callers, F.col("source") == F.col("k_id"))
-    return out.where("caller_file <> o_path").select("type", "method", "caller", "caller_file").distinct()
+    return caller_inventory(nodes, edges, nodes.where("kind = 'class'").select("name"), external=True)
 
 
 @query()

@@ -53,11 +53,11 @@ def context(nodes: DataFrame, edges: DataFrame, question: str, roots: int = 10,
     priority = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind")), F.lit(0))
     order = (F.asc("depth"), F.desc_nulls_last("score"), F.when(priority == 0, 99).otherwise(priority).asc(), F.asc("id"))
     per_file = Window.partitionBy("file_path").orderBy(*order)
-    other = Window.partitionBy("off").orderBy(*order)
     kept = picked.withColumn("in_file", F.row_number().over(per_file)).where((F.col("depth") == 0) | (F.col("in_file") <= max(5, most // 5)))
-    kept = kept.withColumn("off", low_value_file(F.col("file_path"))).withColumn("in_off", F.row_number().over(other))
-    kept = kept.where((F.col("depth") == 0) | ~F.col("off") | (F.col("in_off") <= max(3, most * 15 // 100))).orderBy(*order).limit(most)
-    kept = staged(kept.withColumn("is_root", F.col("depth") == 0).drop("in_file", "off", "in_off"), "context")
+    off = low_value_file(F.col("file_path"))
+    few = kept.where(off & (F.col("depth") > 0)).orderBy(*order).limit(max(3, most * 15 // 100))
+    kept = kept.where(~off | (F.col("depth") == 0) | off.isNull()).unionByName(few).orderBy(*order).limit(most)
+    kept = staged(kept.withColumn("is_root", F.col("depth") == 0).drop("in_file"), "context")
     glue = G.of_kinds(edges, ("calls", "extends", "implements", "references", "contains"))
     return kept, G.induced_edges(glue, kept).dropDuplicates(["source", "target", "kind"])
 
@@ -67,7 +67,7 @@ def rank_files(nodes: DataFrame, edges: DataFrame, entry: DataFrame, named: Data
     near = G.reach(G.adjacency(edges, "both"), G.roots_of(entry), 1).where("depth > 0").select("id").distinct()
     points = named.select("id", F.lit(50.0).alias("p")).unionByName(entry.select("id", F.lit(10.0).alias("p"))).unionByName(near.select("id", F.lit(3.0).alias("p")))
     best = points.groupBy("id").agg(F.max("p").alias("p"))
-    walk = G.random_walk(edges, entry, rounds=10)
+    walk = G.random_walk(edges, entry)
     at = nodes.select("id", "file_path")
     per = at.join(best, "id").groupBy("file_path").agg(F.sum("p").alias("score"))
     mass = at.join(walk.withColumnRenamed("score", "m"), "id").groupBy(F.col("file_path").alias("m_path")).agg(F.sum("m").alias("mass"))

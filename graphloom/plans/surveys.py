@@ -62,9 +62,10 @@ def declaration_file_wraps(files: DataFrame) -> DataFrame:
     return imports.join(names, F.col("told") == F.col("stem")).where("path <> declaration").select("declaration", "path", "line")
 
 
-def caller_inventory(nodes: DataFrame, edges: DataFrame, types: list[str], external: bool = False) -> DataFrame:
-    """(type, method, caller, caller_file): who calls the methods of the named types; ``external`` keeps other files' callers."""
-    owner = nodes.where(F.col("name").isin(types)).select(F.col("id").alias("o_id"), F.col("name").alias("type"), F.col("file_path").alias("o_path"))
+def caller_inventory(nodes: DataFrame, edges: DataFrame, types: list[str] | DataFrame, external: bool = False) -> DataFrame:
+    """(type, method, caller, caller_file): who calls the methods of the named types (a list, or rows of name); ``external`` keeps other files' callers."""
+    named_so = nodes.where(F.col("name").isin(types)) if isinstance(types, list) else nodes.join(types.select("name").distinct(), "name", "left_semi")
+    owner = named_so.select(F.col("id").alias("o_id"), F.col("name").alias("type"), F.col("file_path").alias("o_path"))
     held = edges.where("kind = 'contains'").select(F.col("source").alias("c_s"), F.col("target").alias("c_t")).distinct()
     named = nodes.select(F.col("id").alias("m_id"), F.col("name").alias("method"))
     methods = owner.join(held, F.col("o_id") == F.col("c_s")).join(named, F.col("c_t") == F.col("m_id"))

@@ -72,13 +72,13 @@ def substring_lookup(spark, d):
 @query(
     C.WITH
     + """, h AS (SELECT id, lower(name) AS low, file_path FROM n WHERE lower(name) IN ('logger', 'value', 'gettoken', 'init')),
-    rare AS (SELECT low FROM h GROUP BY low HAVING count(DISTINCT file_path) < 1000), good AS (SELECT DISTINCT file_path FROM h WHERE low IN (SELECT low FROM rare)),
+    rare AS (SELECT low FROM h GROUP BY low HAVING count(DISTINCT file_path) < 10), good AS (SELECT DISTINCT file_path FROM h WHERE low IN (SELECT low FROM rare)),
     many AS (SELECT file_path FROM h GROUP BY file_path HAVING count(DISTINCT low) > 1)
     SELECT id, CASE WHEN file_path IN (SELECT file_path FROM good) AND file_path IN (SELECT file_path FROM many) THEN 21 ELSE 1 END AS score FROM h"""
 )
 def exact_names(spark, d):
     """Exact names; those that meet in one file count more."""
-    return X.exact_names(symbols(spark, d), ["logger", "value", "getToken", "init"], 1000).select("id", F.col("score").cast("int").alias("score"))
+    return X.exact_names(symbols(spark, d), ["logger", "value", "getToken", "init"]).select("id", F.col("score").cast("int").alias("score"))
 
 
 _CASES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in {
@@ -184,7 +184,7 @@ _STOPS = ", ".join(f"'{w}'" for w in sorted(X.PROSE_STOP_WORDS))
 @query(
     C.WITH
     + _SEGMENTS
-    + rf""", wd AS (SELECT DISTINCT doc_id AS query_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{{L}}\p{{N}}]+')) AS word FROM documents WHERE doc_id % 50 = 0 AND source = 'chat'),
+    + rf""", wd AS (SELECT DISTINCT doc_id AS query_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{{L}}\p{{N}}]+')) AS word FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL),
     ok AS (SELECT query_id, word FROM wd WHERE length(word) BETWEEN 4 AND 24 AND NOT regexp_matches(word, '^\p{{N}}+$') AND word NOT IN ({_STOPS})),
     va AS (SELECT query_id, word, word AS segment FROM ok
       UNION SELECT query_id, word, left(word, -2) FROM ok WHERE regexp_matches(word, '(x|sh|ss|zz|ch|s|z|o)es$') AND length(word) >= 6
@@ -192,8 +192,8 @@ _STOPS = ", ".join(f"'{w}'" for w in sorted(X.PROSE_STOP_WORDS))
     SELECT query_id, name, count(DISTINCT word) AS n_words FROM v JOIN va USING (segment) GROUP BY query_id, name HAVING count(DISTINCT word) >= 2"""
 )
 def segment_cooccurrence(spark, d):
-    """Names that hold two words or more of a chat whose id 50 divides."""
-    chats = table(spark, d, "documents").where("doc_id % 50 = 0 and source = 'chat'").select(F.col("doc_id").alias("query_id"), F.col("text"))
+    """Names that hold two words or more of a document whose id 50 divides."""
+    chats = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text"))
     asked = chats.select("query_id", F.explode(X.prose_words(F.col("text"))).alias("word"))
     return X.segment_matches(X.segment_vocabulary(symbols(spark, d)), asked)
 
@@ -206,7 +206,7 @@ def cjk_terms(spark, d):
     return docs.select("doc_id", F.size(found).cast("long").alias("n_cjk"))
 
 
-@query(C.WITH + _SEGMENTS + " SELECT len(list_distinct(s)) AS n_segments, count(*) AS n_names FROM sg WHERE len(list_distinct(s)) <= 12 GROUP BY 1")
+@query(C.WITH + _SEGMENTS + " SELECT least(len(list_distinct(s)), 12) AS n_segments, count(*) AS n_names FROM sg GROUP BY 1")
 def segment_histogram(spark, d):
     names = symbols(spark, d).select("name").distinct()
     return names.groupBy(F.size(segments(F.col("name"))).cast("long").alias("n_segments")).agg(F.count(F.lit(1)).alias("n_names"))

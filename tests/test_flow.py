@@ -182,3 +182,48 @@ def test_spec_graph(spark):
     with pytest.raises(ValueError):
         g.specs_of_file("")
     assert g.specs_of_file("a.py", 0)[1] is True
+
+
+def _two_cliques(n=6):
+    pairs = [(f"{side}{i}", f"{side}{j}", 1.0) for side in "xy" for i in range(n) for j in range(i + 1, n)]
+    return pairs + [("x0", "y0", 0.1)]
+
+
+@pytest.mark.parametrize("in_task", [10_000, 1])
+def test_communities_in_a_task_and_by_rounds(spark, in_task):
+    pairs = _two_cliques() + [("p", "q", 0.5)]
+    got = {r["id"]: r["community"] for r in M.communities(spark.createDataFrame(pairs, "a string, b string, score double"), in_task=in_task).collect()}
+    assert got == {**{f"x{i}": "x0" for i in range(6)}, **{f"y{i}": "y0" for i in range(6)}, "p": "p", "q": "p"}
+
+
+def test_commit_pairs_lose_none(spark):
+    import random
+
+    r = random.Random(4)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    data = []
+    for i in range(40):
+        data.append((i, " ".join(r.choices(words, k=4)), r.choice([0, 10**6, 5 * 10**8, 10**11]), [f"s{r.randint(0, 30)}"], [f"d{r.randint(0, 9)}/f{r.randint(0, 5)}.py"][: r.randint(0, 1)], []))
+    c = spark.createDataFrame(data, "id long, message string, ts_ms long, symbols array<string>, files array<string>, tickets array<string>")
+    got = {(x["a"], x["b"]): x["score"] for x in M.commit_pairs(c).collect()}
+    w: dict = {}
+    for x in M.tf_idf(c, "id", "message").collect():
+        w.setdefault(x["id"], {})[x["term"]] = x["weight"]
+
+    def jac(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) | set(b) else 0.0
+
+    import math
+
+    want = {}
+    for a in data:
+        for b in data:
+            if a[0] < b[0]:
+                norm = [math.sqrt(sum(v * v for v in w[k[0]].values())) for k in (a, b)]
+                cos = sum(v * w[b[0]].get(t, 0) for t, v in w[a[0]].items()) / (norm[0] * norm[1])
+                dirs = [["/".join(f.split("/")[:2]) for f in k[4]] for k in (a, b)]
+                raw = 0.4 * jac(a[3], b[3]) + 0.15 * max(jac(a[4], b[4]), jac(*dirs)) + 0.25 * cos + 0.1 * math.exp(-abs(a[2] - b[2]) / M.TIME_SCALE_MS)
+                score = raw * (0.6 + 0.4 * min(min(len(k[3]) / max(len(k[4]), 1) for k in (a, b)) / 2, 1))
+                if score >= 0.25:
+                    want[a[0], b[0]] = score
+    assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
