@@ -42,7 +42,7 @@ def edges(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     raw = table(spark, d, "edges").select("id", "source", "target", plain_kind(F.col("kind")).alias("kind"), "line", "col", "metadata", "provenance")
     if columns:
         raw = raw.select(*dict.fromkeys(["id", "source", "target", "kind", "line", "col", *columns]))
-    out = drop_orphans(dedup_edges(raw), all_ids(spark, d))
+    out = dedup_edges(drop_orphans(raw, all_ids(spark, d)))
     return out.select(*columns) if columns else out
 
 

@@ -185,7 +185,28 @@ def resolve_fuzzy(spark, d):
     return R.by_fuzzy_name(*_inputs(spark, d)).select("ref_id", "target", "confidence")
 
 
-@query()
+def _strategy(name: str) -> str:
+    """The part of a strategy's SQL after the shared tables, as one table of candidates."""
+    sql = SQL[name]
+    assert sql.startswith(_REFS)
+    return "WITH RECURSIVE x_ AS (SELECT 1)" + sql[len(_REFS) :] if sql[len(_REFS) :].lstrip().startswith(",") else sql[len(_REFS) :]
+
+
+_NEAR = _SHARED.replace("da", "string_split(regexp_replace(ref_path, '/?[^/]*$', ''), '/')").replace("db", "string_split(regexp_replace(file_path, '/?[^/]*$', ''), '/')")
+_RESOLVE_ALL = (
+    _REFS
+    + f""", q1 AS ({_strategy("resolve_qualified")}), q2 AS ({_strategy("resolve_exact")}), q3 AS ({_strategy("resolve_fuzzy")}),
+    fl AS (SELECT r.ref_id, n.id, CASE WHEN n.file_path = r.reference_name THEN 0.95 WHEN ends_with(n.file_path, '/' || r.reference_name) THEN 0.85 ELSE 0.7 END AS c, coalesce({_NEAR}, 0) AS near FROM r JOIN n ON n.kind = 'file'
+      AND regexp_extract(r.reference_name, '([^/]*)$', 1) = regexp_extract(n.file_path, '([^/]*)$', 1) WHERE regexp_matches(r.reference_name, '\\.[A-Za-z]{{1,5}}$')),
+    q4 AS (SELECT ref_id, min_by(id, (-c, -near, id)) AS target, max(c)::DOUBLE AS confidence FROM fl GROUP BY ref_id HAVING count(*) = 1 OR max(c) > 0.7),
+    rc AS (SELECT *, regexp_extract(reference_name, '([A-Za-z0-9_]+)(?:\\.|::|->)[A-Za-z0-9_]+$', 1) AS receiver FROM r), ow AS (SELECT *, regexp_extract(qualified_name, '([A-Za-z0-9_]+)(?:\\.|::)[A-Za-z0-9_]+$', 1) AS owner FROM n WHERE kind IN ('method', 'function')),
+    q5 AS (SELECT ref_id, min_by(id, (-coalesce({_NEAR}, 0), id)) AS target, 0.85::DOUBLE AS confidence FROM rc JOIN ow ON tail = name AND lower(receiver) = lower(owner) AND receiver <> '' AND ow.language = ref_language GROUP BY ref_id),
+    al AS (SELECT *, 'qualified-name' AS resolved_by FROM q1 UNION ALL SELECT *, 'exact-match' FROM q2 UNION ALL SELECT *, 'fuzzy' FROM q3 UNION ALL SELECT *, 'file-path' FROM q4 UNION ALL SELECT *, 'member' FROM q5)
+    SELECT ref_id, arg_min(target, (-confidence, resolved_by, target)) AS target, max(confidence) AS confidence, arg_min(resolved_by, (-confidence, resolved_by, target)) AS resolved_by FROM al GROUP BY ref_id"""
+)
+
+
+@query(_RESOLVE_ALL)
 def resolve_all(spark, d):
     """Every reference with its most confident answer over all strategies."""
     return R.resolve(*_inputs(spark, d))

@@ -283,15 +283,15 @@ def impact_radius(spark, d):
 @query(
     C.WITH
     + """, l AS (SELECT DISTINCT source AS src, target AS dst FROM e),
-    r(root, id, depth) USING KEY (root, id) AS (SELECT id, id, 0 FROM n WHERE kind IN ('component', 'route') AND start_line % 5 = 0
+    r(root, id, depth) USING KEY (root, id) AS (SELECT id, id, 0 FROM n WHERE kind = 'route' AND start_line % 5 = 0
       UNION SELECT DISTINCT r.root, l.dst, r.depth + 1 FROM r JOIN l ON r.id = l.src LEFT JOIN recurring.r AS known ON known.root = r.root AND known.id = l.dst WHERE known.id IS NULL)
-    SELECT root AS source, r.id AS target, depth AS hops FROM r JOIN n ON r.id = n.id AND n.kind = 'interface'"""
+    SELECT root AS source, r.id AS target, depth AS hops FROM r JOIN n ON r.id = n.id AND n.kind IN ('function', 'method', 'class', 'interface')"""
 )
 def shortest_path(spark, d):
-    """Hops from the components and routes on every fifth line to all interfaces, however far."""
+    """Hops from the routes on every fifth line to all functions, methods and types, however far."""
     nodes = C.nodes(spark, d, "id", "kind", "start_line")
-    starts = nodes.where("kind in ('component', 'route') and start_line % 5 = 0").select("id")
-    paths = G.shortest_paths(C.edges(spark, d, "source", "target", "kind"), sources=starts, targets=nodes.where("kind = 'interface'").select("id"))
+    starts = nodes.where("kind = 'route' and start_line % 5 = 0").select("id")
+    paths = G.shortest_paths(C.edges(spark, d, "source", "target", "kind"), sources=starts, targets=nodes.where("kind in ('function', 'method', 'class', 'interface')").select("id"))
     return paths.select("source", "target", "hops")
 
 

@@ -20,6 +20,8 @@ USES = ("calls", "references", "imports", "instantiates")
 #: Kinds whose members change with them.
 CONTAINERS = ("class", "interface", "struct", "trait", "protocol", "module", "enum")
 SUPERTYPE = ("extends", "implements")
+#: Levels after which a deep search writes what it has seen as one table, so its plan stays short.
+COMPACT_EVERY = 8
 
 
 def of_kinds(edges: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
@@ -52,6 +54,8 @@ def reach(links: DataFrame, roots: DataFrame, max_depth: int | None, keep: DataF
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+        if depth % COMPACT_EVERY == 0:
+            seen = staged(seen, "seen")
     return seen
 
 
@@ -168,6 +172,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame | None = None, kinds: tupl
         if level.isEmpty():
             break
         seen = seen.unionByName(level.select("root", "id"))
+        if depth % COMPACT_EVERY == 0:
+            seen, found = staged(seen, "seen"), [staged(reduce(DataFrame.unionByName, found), "found")]
     return reduce(DataFrame.unionByName, found).withColumn("hops", F.size("path") - 1)
 
 
@@ -213,10 +219,10 @@ def file_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     at = nodes.select("id", "file_path").where("file_path is not null")
     s = at.select(F.col("id").alias("s_id"), F.col("file_path").alias("s_path"))
     t = at.select(F.col("id").alias("t_id"), F.col("file_path").alias("t_path"))
-    used = edges.where("kind <> 'contains'").select("source", "target").distinct()
+    # A hot target comes to its join once per file that uses it, not once per edge.
+    used = edges.where("kind <> 'contains'").select("source", "target").join(s, F.col("source") == F.col("s_id")).select("s_path", "target").distinct()
     return (
-        used.join(s, F.col("source") == F.col("s_id"))
-        .join(t, F.col("target") == F.col("t_id"))
+        used.join(t, F.col("target") == F.col("t_id"))
         .where("s_path <> t_path")
         .select(F.col("s_path").alias("file_path"), F.col("t_path").alias("depends_on"))
         .distinct()
@@ -348,12 +354,12 @@ def module_structure(nodes: DataFrame) -> DataFrame:
 def dominant_file(nodes: DataFrame, edges: DataFrame, least: int = 20) -> DataFrame:
     """(file_path, n_edges, runner_up): the file with most edges inside itself, if it has ``least``, and the next one's count."""
     at = nodes.select("id", "file_path")
+    by_file = edges.join(at.select(F.col("id").alias("s_id"), F.col("file_path").alias("s_path")), F.col("source") == F.col("s_id")).groupBy("s_path", "target").agg(F.count(F.lit(1)).alias("n"))
     inner = (
-        edges.join(at.select(F.col("id").alias("s_id"), F.col("file_path").alias("s_path")), F.col("source") == F.col("s_id"))
-        .join(at.select(F.col("id").alias("t_id"), F.col("file_path").alias("t_path")), F.col("target") == F.col("t_id"))
+        by_file.join(at.select(F.col("id").alias("t_id"), F.col("file_path").alias("t_path")), F.col("target") == F.col("t_id"))
         .where("s_path = t_path")
         .groupBy(F.col("s_path").alias("file_path"))
-        .agg(F.count(F.lit(1)).alias("n_edges"))
+        .agg(F.sum("n").alias("n_edges"))
     )
     top = inner.orderBy(F.desc("n_edges"), "file_path").limit(2)
     ranked = top.withColumn("runner_up", F.lead("n_edges").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n_edges"), "file_path")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import LANGUAGE_FAMILY, base_name, map_of, plain_kind, plain_language, plain_path, shared_directories
+from graphloom.runtime import staged
 
 #: More candidates than this for one name: the reference is left unresolved.
 CEILING = 500
@@ -150,8 +151,10 @@ def resolve(refs: DataFrame, nodes: DataFrame, extra: tuple = ()) -> DataFrame:
     """(ref_id, target, confidence, resolved_by): the most confident answer to each reference.
 
     Each strategy (and each function in ``extra``, called alike) gives candidates;
-    ties go by the strategy's name and the target's id.
+    ties go by the strategy's name and the target's id.  All of them read the same
+    two tables, which are written once.
     """
+    refs, nodes = staged(refs, "refs"), staged(nodes, "symbols")
     found = reduce(DataFrame.unionByName, [f(refs, nodes) for f in (*STRATEGIES.values(), *extra)])
     order = F.struct((-F.col("confidence")).alias("c"), "resolved_by", "target")
     return found.groupBy("ref_id").agg(F.min_by(F.struct("target", "confidence", "resolved_by"), order).alias("r")).select("ref_id", "r.*")

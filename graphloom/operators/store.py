@@ -32,10 +32,18 @@ def dedup_edges(edges: DataFrame, order: str = "id") -> DataFrame:
 
 
 def drop_orphans(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges whose two ends exist in ``ids`` (column id)."""
+    """Edges whose two ends exist in ``ids`` (column id); null ends do not exist.
+
+    Ends are made distinct first, in the map tasks, and only those that name nothing
+    are joined back: they are few, so the join turns into a broadcast at run time and
+    a target with a tenth of all edges never meets in one task.
+    """
     keys = ids.select(F.col("id").alias("__id")).where("__id is not null").distinct()
+    ends = edges.select(F.col("source").alias("__end")).distinct().unionByName(edges.select(F.col("target").alias("__end")).distinct()).distinct()
+    missing = ends.where("__end is not null").join(keys, F.col("__end") == F.col("__id"), "left_anti")
+    edges = edges.where("source is not null and target is not null")
     for end in ("source", "target"):
-        edges = edges.join(keys, F.col(end) == F.col("__id"), "left_semi")
+        edges = edges.join(missing, F.col(end) == F.col("__end"), "left_anti")
     return edges
 
 

@@ -98,10 +98,10 @@ def dispatch_scan(spark, d):
 
 
 @query(r"""SELECT doc_id, len(list_filter(string_split(left(text, 8192), chr(10))[1:60], lambda x: regexp_matches(x, '(?i)^[ \t\n\f\r\v]*(//|#|/?\*|--|;|<!--).*(code generated .* do not edit|@generated|auto-?generated|do not (edit|modify) (this file|by hand)|generated by)'))) > 0 AS generated
-    FROM documents WHERE text IS NOT NULL""")
+    FROM documents WHERE source = 'snippets' AND text IS NOT NULL""")
 def header_scan(spark, d):
-    """Whether a text's first comments say that a tool wrote it."""
-    docs = table(spark, d, "documents").where("text is not null")
+    """Whether a source text's first comments say that a tool wrote it."""
+    docs = table(spark, d, "documents").where("source = 'snippets' and text is not null")
     return docs.select("doc_id", generated_header(F.col("text")).alias("generated"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom import flow_queries, graph_queries, plan_queries, skew_queries, text_queries
+from graphloom import flow_queries, graph_queries, lookup_queries, plan_queries, skew_queries, text_queries
 
-_MODULES = (skew_queries, graph_queries, text_queries, flow_queries, plan_queries)
+_MODULES = (skew_queries, graph_queries, text_queries, flow_queries, plan_queries, lookup_queries)
 
 
 def queries() -> dict:

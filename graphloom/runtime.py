@@ -13,9 +13,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and holds at most this many rows.
 BROADCAST_ROWS = 200_000
+#: ... and takes about so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
 
@@ -60,6 +63,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than limit + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``limit`` rows and about ``most_bytes`` bytes; reads no more than limit + 1 rows."""
+    wide = [c for c, t in df.dtypes if t not in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")]
+    texts = sum((F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in wide), F.lit(8 * (len(df.columns) - len(wide))))
+    rows, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(texts.cast("long")), F.lit(0))).first()
+    return rows <= limit and size <= most_bytes

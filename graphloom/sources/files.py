@@ -64,21 +64,24 @@ def ignore_rules(path: Column, patterns: list[str]) -> Column:
 def scan(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
     """(path, text, language, size, modified_at, content_hash, oversize) of the files below ``root``.
 
-    Ignored folders and files with unknown extension are left out before they are
-    read; oversize files come without text.
+    Paths, sizes and times are listed first; ignored folders and files of unknown
+    extension are dropped by these.  The length is pruned inside the source, so the
+    content of oversize files is not read: they come without text and hash.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = root.rstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + prefix.replace(".", r"\.") + "/", "")
-    rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
-    rows = rows.where(~ignored(F.col("path")) & (language_of(F.col("path")) != "unknown"))
-    if patterns:
-        rows = rows.where(~ignore_rules(F.col("path"), patterns))
-    big = F.col("size") > SIZE_CAP
-    text = F.when(~big, F.decode("content", "UTF-8"))
-    return rows.select(
-        "path", text.alias("text"), language_of(F.col("path"), F.substring(text, 1, 8192)).alias("language"), "size", "modified_at", F.sha2("content", 256).alias("content_hash"), big.alias("oversize")
-    )
+    plain = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + prefix.replace(".", r"\.") + "/", "")
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        rows = rows.where(~ignored(F.col("path")) & (language_of(F.col("path")) != "unknown"))
+        return rows.where(~ignore_rules(F.col("path"), patterns)) if patterns else rows
+
+    listed = (F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+    small = wanted(raw.where(F.col("length") <= SIZE_CAP).select(plain.alias("path"), *listed, "content")).withColumn("text", F.decode("content", "UTF-8"))
+    big = wanted(raw.where(F.col("length") > SIZE_CAP).select(plain.alias("path"), *listed))
+    none = F.lit(None).cast("string")
+    out = small.select("path", "text", language_of(F.col("path"), F.substring("text", 1, 8192)).alias("language"), "size", "modified_at", F.sha2("content", 256).alias("content_hash"), F.lit(False).alias("oversize"))
+    return out.unionByName(big.select("path", none.alias("text"), language_of(F.col("path")).alias("language"), "size", "modified_at", none.alias("content_hash"), F.lit(True).alias("oversize")))
 
 
 def generated_header(text: Column) -> Column:
