@@ -288,6 +288,12 @@ def normalise(df: DataFrame, text: str, out: str = "text_form", model: dict | No
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
+def _hashed(df: DataFrame, id_column: str, text: str, model: dict | None, scored: bool = True) -> DataFrame:
+    """(id, class_id, stored): hashes of the shared form and of the stored text, for each non-null text."""
+    formed = normalise(df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("text is not null"), "text", "form", model, scored)
+    return staged(formed.select("id", F.unhex(F.sha2("form", 256)).alias("class_id"), F.unhex(F.sha2("text", 256)).alias("stored")), "lookalikes")
+
+
 def lookalike_classes(df: DataFrame, id_column: str, text: str, model: dict | None = None, scored: bool = True) -> DataFrame:
     """(id, class_id, stored, n_rows, n_links): one row per non-null text with the class of texts that look like it.
 
@@ -295,24 +301,25 @@ def lookalike_classes(df: DataFrame, id_column: str, text: str, model: dict | No
     n_rows counts the rows of the class, n_links those among them whose stored text
     is another one.  Counted by sums only, so a class of any size is no burden.
     """
-    formed = normalise(df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("text is not null"), "text", "form", model, scored)
-    rows = staged(formed.select("id", F.sha2("form", 256).alias("class_id"), F.sha2("text", 256).alias("stored")), "lookalikes")
+    rows = _hashed(df, id_column, text, model, scored)
     same = rows.groupBy("class_id", "stored").agg(F.count(F.lit(1)).alias("n_same"))
     sizes = same.groupBy("class_id").agg(F.sum("n_same").alias("n_rows"), F.count(F.lit(1)).alias("n_forms")).where("n_forms > 1")
     mixed = same.join(sizes, "class_id").select(F.col("class_id").alias("m_class"), F.col("stored").alias("m_stored"), "n_rows", (F.col("n_rows") - F.col("n_same")).alias("n_links"))
     joined = rows.join(mixed, (F.col("class_id") == F.col("m_class")) & (F.col("stored") == F.col("m_stored")), "left")
-    return joined.select("id", "class_id", "stored", "n_rows", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return joined.select("id", F.hex("class_id").alias("class_id"), F.hex("stored").alias("stored"), "n_rows", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def lookalike_pairs(df: DataFrame, id_column: str, text: str, model: dict | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose stored texts differ but look the same.
 
     Null texts take no part; rows with equal stored texts are no pair.  A view of
-    the classes for callers who need pairs: only members with links are joined, and
-    a hot class is spread.  Its rows grow with the square of a class's different
+    the classes for callers who need pairs: only classes with two different stored
+    texts are joined, and a hot class is spread.  Its rows grow with the square of a class's different
     texts; ``lookalike_classes`` says the same in one row per text.
     """
-    members = staged(lookalike_classes(df, id_column, text, model).where("n_links > 0").select("id", "class_id", "stored"), "twins")
+    rows = _hashed(df, id_column, text, model)
+    mixed = rows.groupBy("class_id").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("class_id")
+    members = staged(rows.join(mixed, "class_id", "left_semi").select("id", F.hex("class_id").alias("class_id"), "stored"), "twins")
     a = members.select(F.col("id").alias("id_a"), F.col("stored").alias("stored_a"), F.col("class_id").alias("key_a"))
     b = members.select(F.col("id").alias("id_b"), F.col("stored").alias("stored_b"), F.col("class_id").alias("key_b"))
     joined = skew_join(a, b, "key_a", "key_b", share=0.05)
