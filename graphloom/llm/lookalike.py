@@ -190,7 +190,9 @@ SCRIPT_CHANGE = 12.0
 REREAD, DIGIT_STEP = 9.0, 7.0
 # Characters that are alike in many typefaces, as they may be read between letters.
 READINGS = {"0": "0oO", "1": "1lI", "I": "Il"}
-_UNSURE, _RUN = re.compile(r"(?<=[^\W\d_])[01](?=[^\W\d_])|(?<=[a-z])I(?=[a-z])"), re.compile(r"[^\W_]+")
+_UNSURE = re.compile(r"[01I](?:(?<=[^\W\d_][01])(?=[^\W\d_])|(?<=[a-z]I)(?=[a-z]))")
+
+_CODE = re.compile(r"[2-9]|^[0-9a-fA-F]+$")
 
 
 class Speller:
@@ -240,6 +242,22 @@ class Speller:
             out = self.memo[word] = self._viterbi(word) if any(c in lattice for c in word) else word
         return out
 
+    def _sure(self, looks: str) -> str:
+        """A text with the words re-read that hold unsure characters; words with other digits, or of hexadecimal digits only, are codes and stay."""
+        out, last, n = [], 0, len(looks)
+        for m in _UNSURE.finditer(looks):
+            a, b = m.start(), m.end()
+            if a < last:
+                continue
+            while a > last and looks[a - 1].isalnum():
+                a -= 1
+            while b < n and looks[b].isalnum():
+                b += 1
+            word = looks[a:b]
+            out += [looks[last:a], word if _CODE.search(word) else self._reread(word)]
+            last = b
+        return "".join([*out, looks[last:]]) if out else looks
+
     def _reread(self, word: str) -> str:
         """A word with characters between letters that could be read in several ways, as it scores best."""
         out = self.memo.get("\0" + word)
@@ -259,8 +277,8 @@ class Speller:
 
     def text(self, text: str) -> str:
         looks = skeleton(text)
-        if self.scored and _UNSURE.search(looks):
-            looks = _RUN.sub(lambda m: self._reread(m[0]) if _UNSURE.search(m[0]) else m[0], looks)
+        if self.scored:
+            looks = self._sure(looks)
         pieces = (_ASCII_PIECES if looks.isascii() else _PIECES).split(looks)
         known, word = self.memo.get, self.word
         pieces[1::2] = [known(p) or word(p) for p in pieces[1::2]]
