@@ -96,3 +96,29 @@ def test_paths(spark):
     assert [r[0] for r in t.select(N.is_test_file(F.col("p"))).collect()] == [True, True, True, False, False, True]
     c = spark.createDataFrame([("中文ab字",)], "t string").select(N.cjk_spaced(F.col("t"))).first()[0]
     assert c == "中 文ab字"
+
+
+def test_bm25_many_is_whole_in_parts(spark, monkeypatch):
+    """Blocks, pieces and cuts of any size give what scoring every pair gives, and pairs are not shuffled."""
+    from graphloom.operators import many
+
+    words = "alpha beta gamma delta eps zeta eta theta".split()
+    data = [(i, " ".join(words[(i * j) % 8] for j in range(1, 2 + i % 5))) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, text string")
+    asked = spark.createDataFrame([(q, t) for q in range(6) for t in words[q % 4 : q % 4 + 1 + q // 2]], "query_id long, term string")
+    post, lengths = X.postings(df, "id", {"text": 1.0})
+    scores = {}
+    for q in range(6):
+        for r in X.bm25(df.select("id", "text"), words[q % 4 : q % 4 + 1 + q // 2], {"text": 1.0}).collect():
+            scores.setdefault(q, []).append((-round(r["score"], 9), r["id"]))
+    want = {(q, i, s) for q, found in scores.items() for s, i in sorted(found)[:7]}
+
+    def got():
+        return {(r["query_id"], r["id"], -round(r["score"], 9)) for r in X.bm25_many(post, lengths, asked, 7).collect()}
+
+    assert got() == want
+    for name, value in (("BLOCK_QUERIES", 2), ("HITS", 10), ("POOL", 5)):
+        monkeypatch.setattr(many, name, value)
+    assert got() == want
+    plan = X.bm25_many(post, lengths, asked, 7)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") > 0
