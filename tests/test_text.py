@@ -122,3 +122,16 @@ def test_bm25_many_is_whole_in_parts(spark, monkeypatch):
     assert got() == want
     plan = X.bm25_many(post, lengths, asked, 7)._jdf.queryExecution().toString()
     assert "Generate" not in plan and plan.count("MapInArrow") > 0
+
+
+def test_prefix_search_over_hot_names(spark):
+    """Rows of one name tie: the least ids are kept, in however many batches and tasks they lie."""
+    data = [(f"n{i:05d}", "getValue") for i in range(12_000)] + [("a0", "get"), ("a1", "getter"), ("z", "other")]
+    df = spark.createDataFrame(data, "id string, name string").repartition(5)
+    asked = spark.createDataFrame([(1, "get"), (2, "getv"), (3, "get"), (4, "none")], "query_id long, term string")
+    best = X.bm25_many(*X.postings(df, "id", {"name": 1.0}), asked, 4)
+    assert "(term" not in best._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in best.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == {1: ["a0", "a1", "n00000", "n00001"], 2: ["n00000", "n00001", "n00002", "n00003"], 3: ["a0", "a1", "n00000", "n00001"]}
