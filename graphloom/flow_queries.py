@@ -10,6 +10,7 @@ from graphloom.operators import intervals as I
 from graphloom.operators import mining as M
 from graphloom.operators import resolve as R
 from graphloom.operators.spec import SpecGraph
+from graphloom.runtime import staged
 from graphloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -140,7 +141,8 @@ def clean_references(spark, d):
 
 def _inputs(spark, d):
     nodes = C.nodes(spark, d, "id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "is_exported")
-    return R.clean_refs(table(spark, d, "unresolved_refs"), nodes), nodes
+    nodes = staged(nodes, "symbols")
+    return staged(R.clean_refs(table(spark, d, "unresolved_refs"), nodes), "refs"), nodes
 
 
 @query(

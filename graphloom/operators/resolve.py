@@ -8,10 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import LANGUAGE_FAMILY, base_name, map_of, plain_kind, plain_language, plain_path, shared_directories
-from graphloom.runtime import staged
+from graphloom.runtime import bounded, staged
 
 #: More candidates than this for one name: the reference is left unresolved.
 CEILING = 500
+#: Characters before a reference's last name that a symbol must share before the two are compared.
+SUFFIX = 4
+#: Hashes of asked keys that are broadcast to filter the other side of a join before it is shuffled.
+FILTER_ROWS = 2_000_000
+
+
+def _asked_for(rows: DataFrame, keys: tuple, asked: DataFrame, asked_keys: tuple) -> DataFrame:
+    """``rows`` without most of those whose keys nobody asks for: a filter before a join, by hashes where they are few enough; else all rows."""
+    hashes = asked.select(F.xxhash64(*asked_keys).alias("__h")).distinct()
+    if not bounded(hashes, FILTER_ROWS):
+        return rows
+    return rows.join(F.broadcast(hashes), F.xxhash64(*keys) == F.col("__h"), "left_semi")
 
 
 def clean_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -22,7 +34,12 @@ def clean_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     ).where("reference_name is not null and trim(reference_name) <> ''")
     keys = ["from_node_id", "reference_name", "reference_kind", "line", "col"]
     one = rows.groupBy(*keys).agg(F.min(F.struct("id", "file_path", "language", "status")).alias("r")).select(*keys, "r.*")
+    # Only blank files and unknown languages are looked up.
+    open_ = (F.trim(F.coalesce("file_path", F.lit(""))) == "") | (F.col("language") == "unknown")
+    blank = rows.where(open_).select(F.col("from_node_id").alias("b_id")).distinct()
     home = nodes.select(F.col("id").alias("h_id"), F.col("file_path").alias("h_path"), F.col("language").alias("h_language"))
+    if bounded(blank):
+        home = F.broadcast(home.join(F.broadcast(blank), F.col("h_id") == F.col("b_id"), "left_semi"))
     filled = one.join(home, F.col("from_node_id") == F.col("h_id"), "left")
     path = F.when(F.trim(F.coalesce("file_path", F.lit(""))) == "", F.col("h_path")).otherwise(F.col("file_path"))
     language = F.when(F.col("language") == "unknown", F.coalesce("h_language", "language")).otherwise(F.col("language"))
@@ -60,7 +77,7 @@ def match_score() -> Column:
 def _best(candidates: DataFrame) -> DataFrame:
     """The best candidate per reference: greatest score, then file, line and id; combined in the map tasks."""
     order = F.struct((-F.col("score")).alias("s"), "file_path", "start_line", "id")
-    return candidates.groupBy("ref_id").agg(F.min_by(F.struct("id", "file_path", "language", "kind", "ref_path", "ref_language"), order).alias("b"), F.count(F.lit(1)).alias("n")).select("ref_id", "n", "b.*")
+    return candidates.groupBy("ref_id").agg(F.min_by(F.struct("id", "file_path", "language", "kind", "ref_path", "ref_language"), order).alias("b"), F.max("total").alias("total")).select("ref_id", "total", "b.*")
 
 
 def by_exact_name(refs: DataFrame, nodes: DataFrame, ceiling: int = CEILING) -> DataFrame:
@@ -73,8 +90,9 @@ def by_exact_name(refs: DataFrame, nodes: DataFrame, ceiling: int = CEILING) ->
     per reference.
     """
     pool = nodes.where("kind <> 'import'")
-    counts = pool.groupBy(F.col("name").alias("c_name"), F.col("language").alias("c_language")).agg(F.count(F.lit(1)).alias("c"))
     asked = refs.select("ref_id", "reference_name", "reference_kind", "ref_language")
+    named = _asked_for(pool, ("name",), asked, ("reference_name",))
+    counts = named.groupBy(F.col("name").alias("c_name"), F.col("language").alias("c_language")).agg(F.count(F.lit(1)).alias("c"))
     per_name = asked.groupBy("reference_name", "reference_kind", "ref_language").agg(F.count(F.lit(1)).alias("__n"))
     gate = _admitted(F.col("reference_kind"), F.col("ref_language"), F.col("c_language"))
     few = (
@@ -84,10 +102,12 @@ def by_exact_name(refs: DataFrame, nodes: DataFrame, ceiling: int = CEILING) ->
         .agg(F.sum("c").alias("total"), F.max(F.col("c_language") == F.col("ref_language")).alias("own"))
         .where(F.col("total") <= ceiling)
     )
-    kept = refs.join(few, ["reference_name", "reference_kind", "ref_language"])
+    few = staged(few, "few")
+    kept = _asked_for(refs, ("reference_name",), few, ("reference_name",)).join(few, ["reference_name", "reference_kind", "ref_language"])
+    pool = _asked_for(pool, ("name",), few, ("reference_name",))
     candidates = kept.join(pool, F.col("reference_name") == F.col("name")).where(_admitted(F.col("reference_kind"), F.col("ref_language"), F.col("language")))
     scored = candidates.where(~F.col("own") | (F.col("language") == F.col("ref_language"))).withColumn("score", match_score())
-    best = _best(scored).join(kept.select("ref_id", "total"), "ref_id")
+    best = _best(scored)
     crossing = F.col("language") != F.col("ref_language")
     near = shared_directories(F.col("ref_path"), F.col("file_path")) >= 30
     confidence = F.when(F.col("total") == 1, F.when(crossing, 0.5).otherwise(0.9)).when(near, 0.7).otherwise(0.4)
@@ -98,14 +118,27 @@ def by_qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names with qualifiers: the one symbol so named or one in the same file .95, else one whose qualified name ends so .85."""
     asked = refs.where(F.col("reference_name").contains("::") | F.col("reference_name").contains("."))
     pool = nodes.where("qualified_name is not null")
-    full = asked.join(pool, F.col("reference_name") == F.col("qualified_name"))
-    same = (F.col("file_path") == F.col("ref_path")).cast("int")
-    whole = full.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n"), F.max(same).alias("own"), F.min_by("id", F.struct(-same, F.col("file_path"), F.col("start_line"), F.col("id"))).alias("target"))
+    full = asked.join(_asked_for(pool, ("qualified_name",), asked, ("reference_name",)), F.col("reference_name") == F.col("qualified_name"))
+    same = F.coalesce(F.col("file_path") == F.col("ref_path"), F.lit(False)).cast("int")
+    first = [F.col("file_path").isNull(), F.col("file_path"), F.col("start_line").isNull(), F.col("start_line"), F.col("id")]
+    whole = full.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n"), F.max(same).alias("own"), F.min_by("id", F.struct(-same, *first)).alias("target"))
     sure = whole.where("n = 1 or own = 1").select("ref_id", "target", F.lit(0.95).alias("confidence"))
-    rest = asked.join(sure.select("ref_id"), "ref_id", "left_anti")
-    suffix = rest.join(pool, F.col("tail") == F.col("name")).where(F.col("qualified_name").endswith(F.col("reference_name")))
-    near = suffix.groupBy("ref_id").agg(F.min_by("id", F.struct(-same, F.col("file_path"), F.col("start_line"), F.col("id"))).alias("target"))
-    return sure.unionByName(near.select("ref_id", "target", F.lit(0.85).alias("confidence"))).withColumn("resolved_by", F.lit("qualified-name"))
+    rest = asked.join(sure.select("ref_id"), "ref_id", "left_anti").select("ref_id", "reference_name", "tail", "ref_path")
+    symbols = pool.select("id", "name", "qualified_name", "file_path", "start_line")
+    ends = F.col("qualified_name").endswith(F.col("reference_name"))
+    beside = _asked_for(symbols, ("name", "file_path"), asked, ("tail", "ref_path"))
+    own = rest.join(beside, (F.col("tail") == F.col("name")) & (F.col("ref_path") == F.col("file_path"))).where(ends).groupBy("ref_id").agg(F.min_by("id", F.struct(*first)).alias("own"))
+    # Elsewhere the answer is one for each name.  A method that very many types have meets only names that end in the same characters before it.
+    width = F.least(F.length("reference_name") - F.length("tail"), F.lit(SUFFIX))
+    names = asked.select("reference_name", "tail", width.alias("width")).distinct()
+    widths = sorted(r[0] for r in names.select("width").distinct().collect())  # at most SUFFIX
+    names = names.withColumn("end", F.expr("right(reference_name, length(tail) + width)"))
+    keyed = symbols.withColumn("width", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).where("length(qualified_name) >= length(name) + width")
+    keyed = keyed.withColumn("met", F.expr("right(qualified_name, length(name) + width)")).drop("width")
+    met = names.join(_asked_for(keyed, ("name", "met"), names, ("tail", "end")), (F.col("tail") == F.col("name")) & (F.col("end") == F.col("met")))
+    anywhere = met.where(ends).groupBy("reference_name").agg(F.min_by("id", F.struct(*first)).alias("any"))
+    near = rest.join(own, "ref_id", "left").join(anywhere, "reference_name").select("ref_id", F.coalesce("own", "any").alias("target"), F.lit(0.85).alias("confidence"))
+    return sure.unionByName(near).withColumn("resolved_by", F.lit("qualified-name"))
 
 
 def by_file_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -126,6 +159,7 @@ def by_member(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     asked = refs.withColumn("receiver", F.regexp_extract("reference_name", r"(\w+)(?:\.|::|->)\w+$", 1)).where("receiver <> ''")
     owner = F.regexp_extract("qualified_name", r"(\w+)(?:\.|::)\w+$", 1)
     pool = nodes.where("kind in ('method', 'function')").withColumn("owner", owner).where("owner <> ''")
+    pool = _asked_for(pool, ("name", F.lower("owner"), "language"), asked, ("tail", F.lower("receiver"), "ref_language"))
     met = asked.join(pool, (F.col("tail") == F.col("name")) & (F.lower("receiver") == F.lower("owner"))).where("language = ref_language")
     best = met.groupBy("ref_id").agg(F.min_by("id", F.struct(-shared_directories(F.col("ref_path"), F.col("file_path")), F.col("id"))).alias("target"))
     return best.select("ref_id", "target", F.lit(0.85).alias("confidence"), F.lit("member").alias("resolved_by"))
@@ -134,6 +168,7 @@ def by_member(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 def by_fuzzy_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Case aside, the only callable of the name: .5, across languages .3; one of the own language is preferred."""
     pool = nodes.where("kind in ('function', 'method', 'class')").withColumn("low", F.lower("name"))
+    pool = _asked_for(pool, ("low",), refs, (F.lower("reference_name"),))
     counts = pool.groupBy(F.col("low").alias("c_low"), F.col("language").alias("c_language")).agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("only"))
     met = refs.join(counts, F.lower("reference_name") == F.col("c_low")).where(_admitted(F.col("reference_kind"), F.col("ref_language"), F.col("c_language")))
     own = F.col("c_language") == F.col("ref_language")
@@ -152,9 +187,8 @@ def resolve(refs: DataFrame, nodes: DataFrame, extra: tuple = ()) -> DataFrame:
 
     Each strategy (and each function in ``extra``, called alike) gives candidates;
     ties go by the strategy's name and the target's id.  All of them read the same
-    two tables, which are written once.
+    two tables, which should be staged.
     """
-    refs, nodes = staged(refs, "refs"), staged(nodes, "symbols")
     found = reduce(DataFrame.unionByName, [f(refs, nodes) for f in (*STRATEGIES.values(), *extra)])
     order = F.struct((-F.col("confidence")).alias("c"), "resolved_by", "target")
     return found.groupBy("ref_id").agg(F.min_by(F.struct("target", "confidence", "resolved_by"), order).alias("r")).select("ref_id", "r.*")

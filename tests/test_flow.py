@@ -227,3 +227,21 @@ def test_commit_pairs_lose_none(spark):
                 if score >= 0.25:
                     want[a[0], b[0]] = score
     assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_qualified_suffixes(spark):
+    """Any end of a qualified name answers, of whatever length; own file first, then the first file, unknown files last."""
+    nodes = spark.createDataFrame(
+        [
+            ("a", "method", "get", "m.fox.get", None, "go", 1, False),
+            ("b", "method", "get", "m.fox.get", "k/b.go", "go", 9, False),
+            ("c", "method", "get", "m.box.get", "k/a.go", "go", 2, False),
+            ("d", "method", "get", "get", "k/0.go", "go", 2, False),
+            ("e", "method", "get", "q::fox::get", "k/c.go", "go", 2, False),
+        ],
+        NODES,
+    )
+    names = ["fox.get", "x.get", "ox.get", ".get", "fox::get", "cat.get", "m.box.get"]
+    refs = spark.createDataFrame([ref(i, n, path="p/x.go", language="go") for i, n in enumerate(names)] + [ref(9, "ox.get", path="k/b.go", language="go")], REFS)
+    got = {r["ref_id"]: (r["target"], r["confidence"]) for r in R.by_qualified_name(refs, nodes).collect()}
+    assert got == {0: ("b", 0.85), 1: ("c", 0.85), 2: ("c", 0.85), 3: ("c", 0.85), 4: ("e", 0.85), 6: ("c", 0.95), 9: ("b", 0.85)}
