@@ -135,3 +135,25 @@ def test_prefix_search_over_hot_names(spark):
     for r in best.orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got == {1: ["a0", "a1", "n00000", "n00001"], 2: ["n00000", "n00001", "n00002", "n00003"], 3: ["a0", "a1", "n00000", "n00001"]}
+
+
+def test_segment_matches_in_parts(spark, monkeypatch):
+    """Pairs of names and queries are those of a plain count, in blocks and pieces of any size, and are not shuffled."""
+    from graphloom.operators import many
+
+    words = ["boxes", "tokens", "class", "alpha", "gamma", "boss", "cache", "caches"]
+    names = [(s, f"n{i}") for i in range(60) for s in {words[(i * j) % 7] for j in range(1, 4)} | {"boxe", "token"}]
+    asked = [(q, w) for q in range(9) for w in words[q % 5 : q % 5 + 1 + q // 2]]
+    vocabulary, queries = spark.createDataFrame(names, "segment string, name string"), spark.createDataFrame(asked, "query_id long, word string")
+    variants = {w: set(v) for w, v in queries.select("word", X.word_variants(F.col("word"))).collect()}
+    held = {}
+    for s, n in names:
+        held.setdefault(n, set()).add(s)
+    counts = {(q, n): sum(1 for p, w in set(asked) if p == q and variants[w] & segs) for q in range(9) for n, segs in held.items()}
+    want = sorted((q, n, c) for (q, n), c in counts.items() if c >= 2)
+    assert rows(X.segment_matches(vocabulary, queries)) == sorted(want, key=repr) and want
+    for name, value in (("BLOCK_QUERIES", 2), ("HITS", 7)):
+        monkeypatch.setattr(many, name, value)
+    found = X.segment_matches(vocabulary, queries)
+    assert rows(found) == sorted(want, key=repr)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
