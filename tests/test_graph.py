@@ -130,3 +130,22 @@ def test_file_cycles_close_over_calls_and_imports(spark, monkeypatch):
     monkeypatch.setattr(Q.C, "nodes", lambda *_: nodes)
     monkeypatch.setattr(Q.C, "edges", lambda *_: links)
     assert rows(Q.file_cycles(spark, "").select("file_path", "component")) == [("a.py", "a.py"), ("b.py", "a.py")]
+
+
+def test_shortest_paths_in_memory_and_in_joins(spark, monkeypatch):
+    """The same least paths either way, with loops, double links, unknown ends and a depth; hops alone need no path."""
+    from graphloom.operators import compact
+
+    links = [("a", "c"), ("a", "b"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "a"), ("d", "e"), ("e", "e"), ("x", "y"), ("c", "f"), ("b", "f")]
+    pairs = spark.createDataFrame([("a", "e"), ("a", "zz"), ("x", "y"), ("q", "q"), ("y", "x")], "source string, target string")
+    df, some, every = edges(spark, links), ids(spark, "a", "x", "q"), ids(spark, *"abcdefxyqz")
+
+    def found():
+        many = [rows(G.shortest_paths(df, sources=some, targets=every, max_depth=most).select("source", "target", "path", "hops")) for most in (None, 2, 0)]
+        return [*many, rows(G.shortest_paths(df, pairs).select("source", "target", "path", "hops")), rows(G.shortest_paths(df, sources=some, targets=every, paths=False).select("source", "target", "hops"))]
+
+    here = found()
+    assert ("a", "e", ["a", "b", "d", "e"], 3) in here[0] and ("a", "f", ["a", "b", "f"], 2) in here[1]
+    assert here[3] == [("a", "e", ["a", "b", "d", "e"], 3), ("q", "q", ["q"], 0), ("x", "y", ["x", "y"], 1)]
+    monkeypatch.setattr(compact, "LINKS", -1)
+    assert found() == here
