@@ -8,7 +8,6 @@ shared dictionary.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +22,6 @@ from graphloom.runtime import staged
 
 #: Joins the two sides of a rule's name; cannot occur in a token.
 SEP = "\x1f"
-#: A rule has at least one use in so many tokens, so a grammar has at most so many rules, whatever the table.
-TOKENS_PER_RULE = 4_000_000
 #: Rounds after which the shortened sequences are written down again.
 STAGE_EVERY = 4
 
@@ -206,14 +203,12 @@ def infer_symbol_rules(df: DataFrame, column: str, seeds: list[set[tuple[int, in
     ``least`` uses that do not conflict, until none is left.
 
     Pairs are counted over every row in the map tasks and summed by pair; only
-    pairs with ``least`` uses reach the driver, which holds the grammar.  In tables
-    of more than ``least`` times TOKENS_PER_RULE tokens a pair needs its share of
-    these, so the grammar is bounded.  ``rounds`` ends it earlier.
+    pairs with ``least`` uses reach the driver, which holds the grammar: at most a
+    rule for every ``least`` tokens, the same for a table of any size.  ``rounds``
+    ends it earlier.
     """
     spark = df.sparkSession
     rows = df.select(F.col(column).alias("s")).where(F.size("s") > 1)
-    tokens = rows.agg(F.coalesce(F.sum(F.size("s").cast("long")), F.lit(0))).first()[0]
-    least = max(least, math.ceil(tokens / TOKENS_PER_RULE))
     grammar, pending, inferred = [set(s) for s in seeds], [_ordered(s) for s in seeds], 0
 
     def shortened(column: pa.Array, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +217,7 @@ def infer_symbol_rules(df: DataFrame, column: str, seeds: list[set[tuple[int, in
             symbols, row, _, _ = shorten(symbols, row, level)
         return symbols, row
 
-    while tokens and (rounds is None or inferred < rounds):
+    while rounds is None or inferred < rounds:
         shared = spark.sparkContext.broadcast(pending)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -191,3 +191,10 @@ def test_source_texts(spark):
     assert [P.is_source(t) for t in texts] == [True] * 8 + [False] * 4
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert P.source_texts(df, "t").count() == 8
+
+
+def test_rules_do_not_depend_on_the_size(spark, monkeypatch):
+    """A pair with 16 uses is a rule in a table of any number of tokens."""
+    df = spark.range(16).selectExpr("array('p', 'q') AS tokens").unionByName(spark.range(400).selectExpr("array(concat('a', id), concat('b', id), concat('c', id)) AS tokens"))
+    monkeypatch.setattr(R, "TOKENS_PER_RULE", 10, raising=False)
+    assert R.infer_rules(df, "tokens") == [{("p", "q")}]
