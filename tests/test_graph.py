@@ -149,3 +149,24 @@ def test_shortest_paths_in_memory_and_in_joins(spark, monkeypatch):
     assert here[3] == [("a", "e", ["a", "b", "d", "e"], 3), ("q", "q", ["q"], 0), ("x", "y", ["x", "y"], 1)]
     monkeypatch.setattr(compact, "LINKS", -1)
     assert found() == here
+
+
+def test_shortest_paths_of_a_stored_table(spark, monkeypatch):
+    """Hops between known ids only, to some of the nodes, the same in slices, in blocks of pairs and in joins."""
+    from graphloom.operators import compact
+
+    links = [(f"n{k:02}", f"n{(k * 7 + j) % 60:02}") for k in range(60) for j in (1, 5) if k % 9] + [("n01", "gone"), ("gone", "n09"), ("lost", "n02"), (None, "n03")]
+    df, some, every, known = edges(spark, links), ids(spark, "n01", "n09", "n17", "alone"), [f"n{k:02}" for k in range(0, 60, 2)], ids(spark, *[f"n{k:02}" for k in range(60)], "alone", "n01")
+
+    def found():
+        return rows(G.shortest_paths(df, sources=some, targets=ids(spark, *every, "gone", "alone"), paths=False, known=known).select("source", "target", "hops"))
+
+    sound = [(a, b) for a, b in links if None not in (a, b) and not {"gone", "lost"} & {a, b}]
+    want = sorted((r, t, h) for r in ("n01", "n09", "n17", "alone") for t, h in plain_bfs(sound, r, 99).items() if t in [*every, "alone"])
+    assert found() == want
+    monkeypatch.setattr(compact, "SLICE", 7)
+    monkeypatch.setattr(compact, "HELD", 40)
+    monkeypatch.setattr(compact, "ROW", 11)
+    assert found() == want
+    monkeypatch.setattr(compact, "LINKS", -1)
+    assert found() == want
