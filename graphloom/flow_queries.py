@@ -160,7 +160,7 @@ def _inputs(spark, d):
     SELECT ref_id, id AS target, CASE WHEN total = 1 THEN CASE WHEN language <> ref_language THEN 0.5 ELSE 0.9 END WHEN near >= 30 THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence FROM b WHERE rn = 1"""
 )
 def resolve_exact(spark, d):
-    return R.by_exact_name(*_inputs(spark, d)).select("ref_id", "target", "confidence")
+    return R.by_exact_name(*_inputs(spark, d), ceiling=R.CEILING).select("ref_id", "target", "confidence")
 
 
 @query(
@@ -197,7 +197,7 @@ def _strategy(name: str) -> str:
 _NEAR = _SHARED.replace("da", "string_split(regexp_replace(ref_path, '/?[^/]*$', ''), '/')").replace("db", "string_split(regexp_replace(file_path, '/?[^/]*$', ''), '/')")
 _RESOLVE_ALL = (
     _REFS
-    + f""", q1 AS ({_strategy("resolve_qualified")}), q2 AS ({_strategy("resolve_exact")}), q3 AS ({_strategy("resolve_fuzzy")}),
+    + f""", q1 AS ({_strategy("resolve_qualified")}), q2 AS ({_strategy("resolve_exact").replace("total <= 500 AND ", "")}), q3 AS ({_strategy("resolve_fuzzy")}),
     fl AS (SELECT r.ref_id, n.id, CASE WHEN n.file_path = r.reference_name THEN 0.95 WHEN ends_with(n.file_path, '/' || r.reference_name) THEN 0.85 ELSE 0.7 END AS c, coalesce({_NEAR}, 0) AS near FROM r JOIN n ON n.kind = 'file'
       AND regexp_extract(r.reference_name, '([^/]*)$', 1) = regexp_extract(n.file_path, '([^/]*)$', 1) WHERE regexp_matches(r.reference_name, '\\.[A-Za-z]{{1,5}}$')),
     q4 AS (SELECT ref_id, min_by(id, (-c, -near, id)) AS target, max(c)::DOUBLE AS confidence FROM fl GROUP BY ref_id HAVING count(*) = 1 OR max(c) > 0.7),

@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.names import LANGUAGE_FAMILY, base_name, map_of, plain_kind, plain_language, plain_path, shared_directories
+from graphloom.functions.names import LANGUAGE_FAMILY, base_name, folder_parts, map_of, plain_kind, plain_language, plain_path, shared_directories
 from graphloom.runtime import bounded, staged
 
-#: More candidates than this for one name: the reference is left unresolved.
+#: More candidates than this for one name: the reference is left unresolved where a ceiling is asked for.
 CEILING = 500
+#: A reference with at most so many candidates is compared with each of them, others with the best of each folder.
+DIRECT = 500
+#: Leading folders that count for nearness.
+FOLDERS = 6
 #: Characters before a reference's last name that a symbol must share before the two are compared.
 SUFFIX = 4
 #: Hashes of asked keys that are broadcast to filter the other side of a join before it is shuffled.
@@ -60,16 +64,20 @@ def _admitted(kind: Column, ref_language: Column, language: Column) -> Column:
     return F.when(kind.isin("references", "function_ref"), same).when(kind == "imports", same | ~known).otherwise(F.lit(True))
 
 
-def match_score() -> Column:
-    """How well a candidate fits a reference: file, folders, language, kind, export, nearness."""
-    same_file = F.col("file_path") == F.col("ref_path")
+def _fit() -> Column:
+    """The part of a candidate's score that its file has no part in: language, kind, export."""
     kind, ref_kind = F.col("kind"), F.col("reference_kind")
-    score = F.when(same_file, 100).otherwise(0) + shared_directories(F.col("ref_path"), F.col("file_path"))
-    score = score + F.when(F.col("language") == F.col("ref_language"), 50).otherwise(-80)
+    score = F.when(F.col("language") == F.col("ref_language"), 50).otherwise(-80)
     score = score + F.when(ref_kind.isin("calls", "decorates") & kind.isin("function", "method"), 25).when(
         (ref_kind == "instantiates") & kind.isin("class", "struct", "interface"), 25
     ).when((ref_kind == "decorates") & kind.isin("class", "interface"), 15).otherwise(0)
-    score = score + F.when(F.coalesce("is_exported", F.lit(False)), 10).otherwise(0)
+    return score + F.when(F.coalesce("is_exported", F.lit(False)), 10).otherwise(0)
+
+
+def match_score() -> Column:
+    """How well a candidate fits a reference: file, folders, language, kind, export, nearness."""
+    same_file = F.col("file_path") == F.col("ref_path")
+    score = F.when(same_file, 100).otherwise(0) + shared_directories(F.col("ref_path"), F.col("file_path")) + _fit()
     near = F.greatest(F.lit(0.0), 20 - F.abs(F.col("start_line") - F.col("ref_line")) / 10)
     return score + F.when(same_file, F.coalesce(near, F.lit(0.0))).otherwise(0.0)
 
@@ -80,14 +88,50 @@ def _best(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("ref_id").agg(F.min_by(F.struct("id", "file_path", "language", "kind", "ref_path", "ref_language"), order).alias("b"), F.max("total").alias("total")).select("ref_id", "total", "b.*")
 
 
-def by_exact_name(refs: DataFrame, nodes: DataFrame, ceiling: int = CEILING) -> DataFrame:
+def _by_folder(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with each of the leading ``folder``s of a path, 0 to FOLDERS of them (``depth``): what shared_directories compares."""
+    folder, parts = folder_parts(F.col(path))
+    each = rows.withColumn("__folder", folder).withColumn("depth", F.explode(F.sequence(F.lit(0), F.coalesce(F.least(parts, F.lit(FOLDERS)), F.lit(0)))))
+    return each.withColumn("folder", F.coalesce(F.expr("substring_index(__folder, '/', depth)"), F.lit(""))).drop("__folder")
+
+
+def _best_of_many(refs: DataFrame, pool: DataFrame) -> DataFrame:
+    """``_best`` of references (with total and own) whose names very many symbols of ``pool`` have, without comparing each with each.
+
+    Outside the reference's file a score depends on the folders in common and on
+    language, kind and export, so the first symbol of each of these in each leading
+    folder stands for all.  A symbol met in a folder farther out than need be scores
+    too low there, never too high, and is met in the right one too; so do those of
+    the reference's own file, which are compared one by one.
+    """
+    pool = pool.orderBy("file_path", "start_line", "id").withColumn("rank", F.monotonically_increasing_id())
+    pool = staged(pool.select("id", "name", "kind", "file_path", "language", "start_line", "is_exported", "rank"), "pool")
+    refs = staged(refs, "many")
+    keys = ["name", "depth", "folder", "language", "kind", "is_exported"]
+    first = _by_folder(pool, "file_path").groupBy(*keys).agg(F.min("rank").alias("rank"))
+    first = staged(first, "first")
+    asked = _by_folder(refs, "ref_path").select("ref_id", "reference_name", "reference_kind", "ref_language", "own", F.col("depth").alias("d"), F.col("folder").alias("f"))
+    here = (F.col("reference_name") == F.col("name")) & (F.col("d") == F.col("depth")) & (F.col("f") == F.col("folder"))
+    met = asked.where("own").join(first, here & (F.col("ref_language") == F.col("language")))
+    met = met.unionByName(asked.where("not own").join(first, here)).where(_admitted(F.col("reference_kind"), F.col("ref_language"), F.col("language")))
+    # Greatest score, then least rank, in one number: scores lie below 1000, ranks below 2 ** 50.
+    score = _fit() + F.least(F.col("depth") * 15, F.lit(80))
+    code = F.shiftleft((1000 - score).cast("long"), 50) + F.col("rank")
+    far = met.groupBy("ref_id").agg(F.min(code).alias("code")).select("ref_id", F.col("code").bitwiseAND((1 << 50) - 1).alias("r"))
+    far = refs.join(far, "ref_id").join(pool, F.col("r") == F.col("rank")).drop("r")
+    beside = refs.join(pool, (F.col("reference_name") == F.col("name")) & (F.col("ref_path") == F.col("file_path")))
+    beside = beside.where(_admitted(F.col("reference_kind"), F.col("ref_language"), F.col("language"))).where(~F.col("own") | (F.col("language") == F.col("ref_language")))
+    return _best(far.unionByName(beside).withColumn("score", match_score()))
+
+
+def by_exact_name(refs: DataFrame, nodes: DataFrame, ceiling: int | None = None) -> DataFrame:
     """(ref_id, target, confidence, resolved_by) of references whose whole name is a symbol's.
 
     One candidate: .9, across languages .5.  Several: the best scored one, of the
     reference's own language if there is any, .7 near by and .4 far off.  How many
-    symbols each name has in each language is counted first, and references above
-    the ceiling leave before any candidate is joined: the join's size is bounded
-    per reference.
+    symbols each name has in each language is counted first: references of more
+    than DIRECT candidates meet only the best of each folder, and with a
+    ``ceiling`` those above it stay open.
     """
     pool = nodes.where("kind <> 'import'")
     asked = refs.select("ref_id", "reference_name", "reference_kind", "ref_language")
@@ -95,19 +139,24 @@ def by_exact_name(refs: DataFrame, nodes: DataFrame, ceiling: int = CEILING) ->
     counts = named.groupBy(F.col("name").alias("c_name"), F.col("language").alias("c_language")).agg(F.count(F.lit(1)).alias("c"))
     per_name = asked.groupBy("reference_name", "reference_kind", "ref_language").agg(F.count(F.lit(1)).alias("__n"))
     gate = _admitted(F.col("reference_kind"), F.col("ref_language"), F.col("c_language"))
-    few = (
+    sizes = (
         per_name.join(counts, F.col("reference_name") == F.col("c_name"))
         .where(gate)
         .groupBy("reference_name", "reference_kind", "ref_language")
         .agg(F.sum("c").alias("total"), F.max(F.col("c_language") == F.col("ref_language")).alias("own"))
-        .where(F.col("total") <= ceiling)
     )
-    few = staged(few, "few")
-    kept = _asked_for(refs, ("reference_name",), few, ("reference_name",)).join(few, ["reference_name", "reference_kind", "ref_language"])
-    pool = _asked_for(pool, ("name",), few, ("reference_name",))
-    candidates = kept.join(pool, F.col("reference_name") == F.col("name")).where(_admitted(F.col("reference_kind"), F.col("ref_language"), F.col("language")))
-    scored = candidates.where(~F.col("own") | (F.col("language") == F.col("ref_language"))).withColumn("score", match_score())
-    best = _best(scored)
+    sizes = staged(sizes if ceiling is None else sizes.where(F.col("total") <= ceiling), "sizes")
+    few, many = sizes.where(F.col("total") <= DIRECT), sizes.where(F.col("total") > DIRECT)
+
+    def kept(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        its = _asked_for(refs, ("reference_name",), some, ("reference_name",)).join(some, ["reference_name", "reference_kind", "ref_language"])
+        return its, _asked_for(pool, ("name",), some, ("reference_name",))
+
+    own, symbols = kept(few)
+    candidates = own.join(symbols, F.col("reference_name") == F.col("name")).where(_admitted(F.col("reference_kind"), F.col("ref_language"), F.col("language")))
+    best = _best(candidates.where(~F.col("own") | (F.col("language") == F.col("ref_language"))).withColumn("score", match_score()))
+    if not many.isEmpty():
+        best = best.unionByName(_best_of_many(*kept(many)))
     crossing = F.col("language") != F.col("ref_language")
     near = shared_directories(F.col("ref_path"), F.col("file_path")) >= 30
     confidence = F.when(F.col("total") == 1, F.when(crossing, 0.5).otherwise(0.9)).when(near, 0.7).otherwise(0.4)

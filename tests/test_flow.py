@@ -245,3 +245,26 @@ def test_qualified_suffixes(spark):
     refs = spark.createDataFrame([ref(i, n, path="p/x.go", language="go") for i, n in enumerate(names)] + [ref(9, "ox.get", path="k/b.go", language="go")], REFS)
     got = {r["ref_id"]: (r["target"], r["confidence"]) for r in R.by_qualified_name(refs, nodes).collect()}
     assert got == {0: ("b", 0.85), 1: ("c", 0.85), 2: ("c", 0.85), 3: ("c", 0.85), 4: ("e", 0.85), 6: ("c", 0.95), 9: ("b", 0.85)}
+
+
+def test_references_to_names_of_many_symbols(spark, monkeypatch):
+    """However many symbols have a name, its references get the best of them; folder by folder the same as one by one."""
+    kinds, languages, folders = ["function", "class", "interface", "field"], ["typescript", "go", "tsx", "python"], ["", "src/", "src/a/", "src/a/b/", "src/a/b/c/d/e/f/g/", "src/b/", "far/a/", "/src/a/"]
+    nodes = [(f"n{i:03}", kinds[i * 7 % 4], "get", None, f"{folders[i * 5 % 8]}f{i % 3}.x", languages[i // 3 % 3], i % 50, [True, False, None][i % 3]) for i in range(600)]
+    refs = [
+        (k, "n0", "get", kind, 10 * k, 1, path, language, "pending", "get")
+        for k, (kind, path, language) in enumerate(
+            (kind, path, language)
+            for kind in ("calls", "references", "instantiates", "decorates", "imports")
+            for path in ("src/a/f1.x", "src/a/b/c/d/e/f/g/f0.x", "src/a/b/c/d/e/f/h/f0.x", "src/a/b/new.x", "f2.x", "other/f1.x", "/src/a/f1.x")
+            for language in languages
+        )
+    ]
+    nodes, refs = spark.createDataFrame(nodes, NODES), spark.createDataFrame(refs, REFS)
+    many = rows(R.by_exact_name(refs, nodes))
+    assert len({r[0] for r in many}) == len(many) >= 126
+    monkeypatch.setattr(R, "DIRECT", 10_000)
+    assert rows(R.by_exact_name(refs, nodes)) == many
+    monkeypatch.undo()
+    monkeypatch.setattr(R, "DIRECT", 0)
+    assert rows(R.by_exact_name(refs, nodes)) == many
