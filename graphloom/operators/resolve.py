@@ -238,7 +238,8 @@ def resolve(refs: DataFrame, nodes: DataFrame, extra: tuple = ()) -> DataFrame:
     ties go by the strategy's name and the target's id.  All of them read the same
     two tables, which should be staged.
     """
-    found = reduce(DataFrame.unionByName, [f(refs, nodes) for f in (*STRATEGIES.values(), *extra)])
+    # Each is run by itself: the driver plans all of it anew after every stage.
+    found = reduce(DataFrame.unionByName, [staged(f(refs, nodes), "answers") for f in (*STRATEGIES.values(), *extra)])
     order = F.struct((-F.col("confidence")).alias("c"), "resolved_by", "target")
     return found.groupBy("ref_id").agg(F.min_by(F.struct("target", "confidence", "resolved_by"), order).alias("r")).select("ref_id", "r.*")
 
